@@ -1,13 +1,84 @@
-"""Corpus pipeline over documents."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, source mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``docs``. Rows with a null doc_id go through all stages that can decide about their text. Empty
+tables give empty tables. Extra columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.llm import langid, mixing, sentencepiece_codec
+from cloakwork.llm.common import written
+from cloakwork.llm.exact_dedup import exact_dedup
+from cloakwork.llm.minhash import minhash_dedup
+from cloakwork.llm.queries import PIECES
+
+#: Documents whose language is less sure than this are rejected.
+LEAST_SCORE = 0.5
+#: Words in a shingle of the near-duplicate stage.
+WORDS = 5
+
+
+def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is kept in ``decided``; null ids compare equal."""
+    keep = decided.filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter (null and empty texts among them) or with no sure language.
+
+    The model learns from the rows that are not held out. If no row has a language, only texts without a letter go.
+    """
+    model = langid.train(docs.filter(~langid.held_out("doc_id")))
+    if not model.langs:
+        letter = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+        return docs.filter(letter)
+    found = langid.predict(docs, model, pred_col="__lang", score_col="__score")
+    return found.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; rows that repeat id and text stay once."""
+    return _staying(docs, exact_dedup(docs)).dropDuplicates(["doc_id", "text"])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the row with the smallest doc_id stays."""
+    return _staying(docs, minhash_dedup(docs, words=WORDS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it (0, 1 or 2 times): whole documents, rounded from words taken.
+
+    Rows that share a doc_id are taken as often as the one taken most.
+    """
+    taken = mixing.mix(docs).filter("size > 0")
+    times = taken.select(F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = times.filter("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times"))
+    out = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their SentencePiece ids, which give back the text."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.vocabulary(PIECES))
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]
+
+#: SQL can't express the language model, the mix and the tokens.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs
