@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import catalogue_linkage, catalogue_privacy
+
 
 def queries() -> dict:
-    return {}
+    return {**catalogue_privacy.QUERIES, **catalogue_linkage.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**catalogue_privacy.SQL, **catalogue_linkage.SQL}
