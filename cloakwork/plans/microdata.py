@@ -12,7 +12,7 @@ from ..operators.pprl.encode import encode_party, union
 K, L = 5, 2
 BLOOM = BloomConfig(size=1024, hashes=15, kind="qgrams", q=4)
 #: Bits of a block key.
-ADJACENT = 16
+ADJACENT = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
