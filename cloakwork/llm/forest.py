@@ -1,7 +1,8 @@
 """Embedding near duplicates by a forest of random-projection trees.
 
 Every tree splits the unit vectors at the median of their projection on a random direction, again
-and again; a vector within ``spill`` of the median goes to both sides. The top of the trees is fitted
+and again; a vector near the median goes to both sides (within ``spill`` times the deviation of the
+difference that a pair at the threshold has on a random direction). The top of the trees is fitted
 on a bounded sample (``sample`` vectors with the smallest hashes) and indexes every vector. Leaves
 that are still above ``leaf_rows`` vectors of one label are split on, in rounds over all data with
 approximate medians, as long as that makes them smaller. Within the leaves vectors of one label are
@@ -9,9 +10,9 @@ compared in blocks by cosine in double precision; pairs at or above the threshol
 that meets in several leaves counts in the first of them only, so a vector's links can be added up
 over leaves, and a leaf gives a row for each vector, not for each pair.
 
-*Recall.* With the default spill a pair at the threshold is parted by a split with probability of
-about 0.4%, so a tree of 10 levels misses 4% of such pairs, and four trees together miss fewer than
-one in 100,000 (measured in the tests against brute force).
+*Recall.* With the default spill and 64 components a pair at the threshold is parted by a split with
+a probability of about 0.4%, so a tree of 10 levels misses 4% of such pairs, and four trees together
+miss about one in 100,000; vectors of few components lie closer to the medians and lose more.
 
 *Large groups.* Equal vectors of a label are one node with a weight. Leaves that can't be made
 smaller (a third of all vectors close to one another) are compared in blocks of ``leaf_rows``, each
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 THRESHOLD = 0.98
-TREES, SPILL = 4, 0.02
+TREES, SPILL = 4, 0.8
 LEAF_ROWS, SAMPLE, MAX_DEPTH = 512, 20_000, 12
 MAX_ROUNDS = 30
 
@@ -44,6 +45,11 @@ def _direction(seed: int, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
+def margin(dim: int, threshold: float, spill: float) -> float:
+    """How far from a median vectors of a length go to both sides."""
+    return spill * (max(0.0, 2 - 2 * threshold) / dim) ** 0.5
+
+
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     x = np.asarray(column.flatten(), np.float64).reshape(-1, dim)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -79,7 +85,7 @@ def leaves_of(x: np.ndarray, forest: list[tuple[np.ndarray, np.ndarray]], depth:
     return np.concatenate(rows_of), np.concatenate(leaves)
 
 
-def _assigned(nodes: DataFrame, forests: dict[int, list], depth: int, spill: float) -> DataFrame:
+def _assigned(nodes: DataFrame, forests: dict[int, list], depth: int, spill: dict[int, float]) -> DataFrame:
     """(id, kind, leaf) of all nodes; vectors of a length that no sample had are all in leaf 0."""
     shared = nodes.sparkSession.sparkContext.broadcast(forests)
 
@@ -91,14 +97,14 @@ def _assigned(nodes: DataFrame, forests: dict[int, list], depth: int, spill: flo
                 if dim not in shared.value:
                     rows, leaf = own, np.zeros(len(own), np.int64)
                 else:
-                    rows, leaf = leaves_of(_unit(batch.column(3).take(pa.array(own)), dim), shared.value[dim], depth, spill)
+                    rows, leaf = leaves_of(_unit(batch.column(3).take(pa.array(own)), dim), shared.value[dim], depth, spill[int(dim)])
                     rows = own[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), kinds.take(pa.array(rows)), pa.array(leaf, pa.int64())], names=["id", "kind", "leaf"])
 
     return nodes.select("id", "kind", "dim", "v").mapInArrow(run, "id long, kind string, leaf long")
 
 
-def _split_on(placed: DataFrame, nodes: DataFrame, spill: float, leaf_rows: int, seed: int) -> DataFrame:
+def _split_on(placed: DataFrame, nodes: DataFrame, spill: float, threshold: float, leaf_rows: int, seed: int) -> DataFrame:
     """Splits leaves above ``leaf_rows`` until none is left or a round makes them hardly smaller."""
     before = None
     for number in range(MAX_ROUNDS):
@@ -114,11 +120,11 @@ def _split_on(placed: DataFrame, nodes: DataFrame, spill: float, leaf_rows: int,
             for batch in batches:
                 leaf, v = batch.column(2).to_numpy(), batch.column(3)
                 p = [float(np.dot(x := np.asarray(v[i].values, np.float64), _direction(int(leaf[i]) * 31 + number + seed, len(x))) / np.linalg.norm(x)) for i in range(len(leaf))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p, pa.float64())], names=["id", "kind", "leaf", "p"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p, pa.float64()), pa.array([margin(len(x), threshold, spill) for x in v], pa.float64())], names=["id", "kind", "leaf", "p", "near"])
 
-        shown = written(there.select("id", "kind", "leaf", "v").mapInArrow(run, "id long, kind string, leaf long, p double"), "op4-shown")
+        shown = written(there.select("id", "kind", "leaf", "v").mapInArrow(run, "id long, kind string, leaf long, p double, near double"), "op4-shown")
         cuts = shown.groupBy("kind", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("cut"))
-        sides = F.filter(F.array(F.when(F.col("p") <= F.col("cut") + spill, 0), F.when(F.col("p") > F.col("cut") - spill, 1)), lambda s: s.isNotNull())
+        sides = F.filter(F.array(F.when(F.col("p") <= F.col("cut") + F.col("near"), 0), F.when(F.col("p") > F.col("cut") - F.col("near"), 1)), lambda s: s.isNotNull())
         new = shown.join(written(cuts, "op4-cuts"), ["kind", "leaf"]).select("id", "kind", F.col("leaf").alias("up"), F.explode(sides).alias("side"))
         # 2^62 leaves: of one number by chance only once in very many, which then are compared as one leaf
         new = new.select("id", "kind", F.shiftrightunsigned(F.xxhash64("up", "side", F.lit(number)), 2).alias("leaf")).distinct()
@@ -192,14 +198,15 @@ def forest_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     per_kind = nodes.groupBy("kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, per_kind) / (leaf_rows / 2))))))
     drawn = nodes.select("dim", "v", F.xxhash64("id", F.lit(seed)).alias("o")).orderBy("o").limit(sample).toArrow()
-    forests, dims = {}, drawn.column("dim").to_numpy()
+    forests, margins, dims = {}, {}, drawn.column("dim").to_numpy()
     for dim in np.unique(dims):
         own = drawn.filter(pa.array(dims == dim)).column("v").combine_chunks()
-        forests[int(dim)] = fit(_unit(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own, int(dim)), trees, depth, spill, seed)
-    placed = written(_assigned(nodes, forests, depth, spill), "op4-placed")
+        margins[int(dim)] = margin(int(dim), threshold, spill)
+        forests[int(dim)] = fit(_unit(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own, int(dim)), trees, depth, margins[int(dim)], seed)
+    placed = written(_assigned(nodes, forests, depth, margins), "op4-placed")
     # the vector's length is part of its group
     placed = written(placed.join(nodes.select("id", "dim"), "id").select("id", F.concat_ws(":", "dim", "kind").alias("kind"), "leaf"), "op4-placed")
-    placed = _split_on(placed, nodes, spill, leaf_rows, seed)
+    placed = _split_on(placed, nodes, spill, threshold, leaf_rows, seed)
     leaves = placed.groupBy("id").agg(F.collect_list("leaf").alias("leaves"))
     counts = placed.groupBy("kind", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / leaf_rows).cast("int")
