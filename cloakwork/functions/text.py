@@ -19,7 +19,7 @@ def is_suppressed(c: Column) -> Column:
 
 
 def parse_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def range_midpoint(c: Column) -> Column:

@@ -78,7 +78,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_hierarchy(spark: SparkSession, path: str, attr: str) -> DataFrame:
     """(attr, leaf, levels) of a header-less, maybe ragged CSV: cells trimmed, empty ones dropped."""
-    cells = F.filter(F.transform(F.split("value", ","), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("value", ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = spark.read.text(path).select(cells.alias("levels")).filter(F.size("levels") > 0)
     return rows.select(F.lit(attr).alias("attr"), F.col("levels")[0].alias("leaf"), "levels")
 

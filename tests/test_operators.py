@@ -85,7 +85,7 @@ def test_linkage_and_membership(spark, people, hierarchies):
         both = [p for p in first if p["sex"] == me["sex"]]
         assert (x["stage1_size"], x["class_size"]) == (len(first), len(both))
         assert x["true_probability"] == pytest.approx(sum(p["illness"] == me["illness"] for p in both) / len(both))
-    t = targets.withColumn("is_member", F.lit(1)).unionByName(spark.createDataFrame([(999, 5, "M", 0)], "id long, age int, sex string, is_member int"))
+    t = targets.withColumn("is_member", F.lit(1)).unionByName(spark.createDataFrame([(999, 5, "X", 0)], "id long, age int, sex string, is_member int"))
     d = {x["id"]: x for x in attacks.membership_attack(t, release.drop("id"), "id", ["age", "sex"], hierarchies, {"age": 2, "sex": 0}, None).collect()}
     assert d[999]["candidate_count"] == 0 and d[999]["predicted"] == 0 and d[3]["predicted"] == 1
     with pytest.raises(ValueError):
