@@ -83,19 +83,19 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b").cast("decimal(20,0)"))).first()
-        return tuple(r)
+    def done(e: DataFrame) -> bool:
+        """Whether every edge goes from a node with no other edge up to a root."""
+        child = e.groupBy("a").agg(F.count("*").alias("n"))
+        rows = child.select("a", F.col("n"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("a")).distinct().select("a", F.lit(1).alias("n"), F.lit(1).alias("up")))
+        bad = rows.groupBy("a").agg(F.max("n").alias("n"), F.count("*").alias("k"))
+        return bad.filter("n > 1 or k > 1").isEmpty()
 
     start = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     now = written(start.filter("a is not null and b is not null and a <> b").distinct(), tag)
-    seen = mark(now)
-    while seen[0]:
+    while not done(now):
         step = written(stars(stars(now, True), False), tag)
         dropped(now)
-        now, before, seen = step, seen, mark(step)
-        if before == seen:
-            break
+        now = step
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
         now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     )

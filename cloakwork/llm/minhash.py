@@ -5,16 +5,20 @@ hashes of the set. Inverted lists of retained values give pairs and their overla
 the union, which two sketches determine, estimates the Jaccard similarity and filters; what
 passes is confirmed on the full sets of the texts' own shingles.
 
-*Which values are listed.* Of a linked pair (similarity 0.8 or more) the sketches of 64 values
-share 51 on average; that they share fewer than half has a probability under 1e-6. So a pair must
-meet in the 33 values that are rarest over all documents, and only those are listed: a common
+*Which values are listed.* Of a linked pair (similarity 0.8 or more) the sketches of 80 values
+share 64 on average; that they share fewer than 48 has a probability of about 1e-5 for a pair exactly at
+0.8, far less above. So a pair must meet in the 33 values that are rarest over all documents, and only those are listed: a common
 word pair or a shared passage is listed only for texts that hold little else. Values that occur
-once are counted but never listed. Texts of fewer than 64 shingles have them all as a sketch.
+once are counted but never listed. Texts of fewer than 80 shingles have them all as a sketch.
 
-*Large groups.* Texts with equal sets are one node. In each list every node is first paired with
-the list's smallest id only, and what is confirmed gives components. Then lists whose nodes are
-all in one component are done; in the others, only pairs across components are tested, all of
-them. So a group of n near copies costs about n pairs, and no link that changes a component is lost.
+*Large groups.* Texts with equal sets are one node. In each list all nodes are first paired with one
+pivot (the smallest id, then a random one, another in each list), and what is confirmed gives
+components. Lists whose nodes are all in one component are done. Of the others, those with few pairs
+across components (up to ``CROSS`` for each node) give all of these. For nodes in lists with more of
+them (many texts around one passage) the whole sets are listed, as sketches without a bound: a
+linked pair shares at least 80 of 100 shingles of either, so it meets in the rarest fifth; lists of those
+give all pairs across components. So a group of n near copies costs about n pairs, and no link
+that would change a component is left out.
 
 Nulls count as empty texts; texts without words link with nothing. Rows with a null id come back
 with component_id null and kept true. Rows that repeat an id share its component.
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, components, dropped, mix, utf8, written
 
-SKETCH = 64
+SKETCH = 80
 WORDS = 5
 SIMILARITY = 80
+#: Pairs across components for each node of a list, up to which a list gives them all.
+CROSS = 16
+#: Bits of the map of wanted ids.
+MAP_BITS = 1 << 24
 
 
 def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -76,7 +85,7 @@ def _shared_needed(m: Column, k: int) -> Column:
     Below k the sketch is the whole set: exactly 0.8 of it if the other set is whole too; the
     other set can be larger than k, then k - 0.2 * m / 0.8 of its k retained values are in this one.
     """
-    return F.when(m < k, F.least(F.ceil(m * 0.8), F.ceil(F.lit(float(k)) - m * 0.25))).otherwise(F.lit(k // 2)).cast("int")
+    return F.when(m < k, F.least(F.ceil(m * 0.8), F.ceil(F.lit(float(k)) - m * 0.25))).otherwise(F.lit(k * 3 // 5)).cast("int")
 
 
 def listed(nodes: DataFrame, k: int) -> DataFrame:
@@ -101,8 +110,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> Da
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(F.col("sa"), F.col("sb")), F.col("union")))
     j = j.withColumn("union", union)
-    # half of the union's sketch: far below 0.8 of it, by more than six standard deviations
-    return j.filter(both * 2 >= F.least(F.size("union"), F.lit(k)) * (similarity / 80.0)).select("a", "b")
+    # three fifths of the union's sketch: below 0.8 of it by more than four standard deviations
+    return j.filter(both * 5 >= F.least(F.size("union"), F.lit(k)) * 3 * (similarity / 80.0)).select("a", "b")
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -137,19 +146,90 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -
     return j.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def across(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs of listed ids that share a value and are in different components."""
-    own = lists.join(parts, "id", "left").select("value", "id", F.coalesce("component_id", "id").alias("c"))
-    own = written(own, "op3-own")
-    groups = own.select("value", "c").distinct()
-    many = groups.groupBy("value").agg(F.count("*").alias("parts")).filter("parts > 1").select("value")
-    groups = written(groups.join(many, "value"), "op3-groups")
+def wanted_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of ``texts`` whose id is in ``ids`` (distinct); one row for each id.
+
+    A map of ``MAP_BITS`` bits of the ids (a broadcast of 8 MB at most, whatever their number) first
+    drops most other texts where they are read, so hardly more than the wanted ones is shuffled.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    marks = ids.select(F.floor(place / 64).alias("word"), bit().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    maybe = texts.withColumn("word", F.floor(place / 64)).withColumn("bit", bit()).join(F.broadcast(marks), "word").filter(F.col("bit").bitwiseAND(F.col("bits")) != 0)
+    return maybe.select("id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: int, k: int) -> DataFrame:
+    """The links among candidate pairs (a, b)."""
+    maybe = written(estimated(pairs, nodes, k, similarity), "op3-maybe")
+    if maybe.isEmpty():
+        return maybe
+    ids = maybe.select(F.col("a").alias("id")).unionByName(maybe.select(F.col("b").alias("id"))).distinct()
+    own = written(wanted_texts(texts, ids), "op3-texts")
+    out = written(confirmed(maybe, own, words, similarity), "op3-links")
+    dropped(maybe, own)
+    return out
+
+
+def placed(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """(value, id, c): the entries of lists that hold more than one component."""
+    own = written(lists.join(parts, "id", "left").select("value", "id", F.coalesce("component_id", "id").alias("c")), "op3-own")
+    mixed = own.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("value")
+    out = written(own.join(mixed, "value"), "op3-mixed")
+    dropped(own)
+    return out
+
+
+def with_pivots(own: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of a random node of each list and all its nodes in other components."""
+    key = F.xxhash64("value", "id", F.lit(number))
+    pivots = own.groupBy("value").agg(F.min(F.struct(key.alias("o"), "id", "c")).alias("x")).select("value", F.col("x.id").alias("p"), F.col("x.c").alias("pc"))
+    met = own.join(pivots, "value").filter("c <> pc")
+    return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def across(own: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a value and are in different components."""
+    groups = written(own.select("value", "c").distinct(), "op3-groups")
     meet = groups.join(groups.select("value", F.col("c").alias("d")), "value").filter("c < d")
     left = meet.join(own.select("value", "c", F.col("id").alias("x")), ["value", "c"])
     both = left.join(own.select("value", F.col("c").alias("d"), F.col("id").alias("y")), ["value", "d"])
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def crossing(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of lists with few pairs across components, and those of lists with many."""
+    per = own.groupBy("value", "c").agg(F.count("*").alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    many = written(per.withColumn("many", F.col("n") * F.col("n") - F.col("squares") > 2 * CROSS * F.col("n")).select("value", "many"), "op3-crossing")
+    j = own.join(many, "value")
+    return j.filter(~F.col("many")).drop("many"), j.filter("many").drop("many")
+
+
+def whole_lists(ids: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(value, id): the rarest fifth of the whole shingle sets of the texts with these ids.
+
+    A linked pair shares at least similarity % of either set; so the first common value in the order of
+    rarity is among the first n - ceil(n * similarity / 100) + 1 of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for i, h in zip(batch.column(0).to_pylist(), hasher.texts(utf8(batch.column(1))), strict=True):
+                own = shingle_set(h, words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i), pa.int64()), pa.array(np.full(len(own), len(own)), pa.int64()), pa.array(own, pa.int64())], names=["id", "n", "value"])
+
+    entries = written(wanted_texts(texts, ids).select("id", "text").mapInArrow(run, "id long, n long, value long"), "op3-whole")
+    shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    common = entries.join(shared, "value")
+    single = common.groupBy("id", "n").agg(F.collect_list(F.struct("df", "value")).alias("common"))
+    take = (F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100)) + 1 - (F.col("n") - F.size("common"))).cast("int")
+    out = single.withColumn("take", take).filter("take > 0").select("id", F.explode(F.slice(F.sort_array("common"), F.lit(1), F.col("take"))).alias("x"))
+    out = written(out.select("id", F.col("x.value").alias("value")), "op3-whole-lists")
+    dropped(entries)
+    return out
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     made = written(sketches(docs, id_col, text_col, words, k), "op3-sketches")
@@ -157,22 +237,31 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_set = sets.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     reps = written(per_set.select("digest", "lo", "hi", "x.*"), "op3-nodes")
     nodes = reps.select("id", "n", "sketch")
-    lists = listed(nodes, k)
-    least = written(lists.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("hi")).filter("a < hi").drop("hi"), "op3-least")
-    stars = lists.join(least, "value").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    maybe = written(estimated(stars, nodes, k, similarity), "op3-maybe")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = lists.join(least.select("value"), "value", "left_semi").select("id").distinct()
-    texts = written(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "op3-texts")
-    links = written(confirmed(maybe, texts, words, similarity), "op3-links")
-    parts = written(components(links, "op3-cc"), "op3-parts")
-    rest = across(lists.join(least.select("value"), "value", "left_semi"), parts)
-    more = written(confirmed(estimated(rest, nodes, k, similarity), texts, words, similarity), "op3-more")
-    if not more.isEmpty():
-        parts = written(components(links.unionByName(more), "op3-cc"), "op3-parts")
+    lists = listed(nodes, k)
+    least = lists.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("hi")).filter("a < hi").drop("hi")
+    stars = lists.join(written(least, "op3-least"), "value").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = linked(stars, nodes, texts, words, similarity, k)
+    parts = _parts([links])
+    own = placed(lists, parts)
+    if not own.isEmpty():
+        more = linked(with_pivots(own, 1), nodes, texts, words, similarity, k)
+        parts = _parts([links, more])
+        own = placed(lists, parts)
+        few, many = crossing(own)
+        ids = written(many.select("id").distinct(), "op3-many")
+        rest = across(few)
+        if not ids.isEmpty():
+            rest = rest.unionByName(across(placed(whole_lists(ids, texts, words, similarity), parts))).distinct()
+        last = linked(rest, nodes, texts, words, similarity, k)
+        parts = _parts([links, more, last])
     # a set held by several rows, or linked: its component; the others are alone
     grouped = reps.join(parts, "id", "left").filter("lo < hi or component_id is not null").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     out = made.select("id", "n", "digest").join(written(grouped, "op3-grouped"), "digest", "left")
     alone = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id"))
     comp = F.when(F.col("id").isNotNull(), alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id").isNull() | (comp == F.col("id"))).alias("kept"))
+
+
+def _parts(found: list[DataFrame]) -> DataFrame:
+    return written(components(reduce(DataFrame.unionByName, found), "op3-cc"), "op3-parts")
