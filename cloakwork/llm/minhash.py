@@ -20,6 +20,11 @@ linked pair shares at least 80 of 100 shingles of either, so it meets in the rar
 give all pairs across components. So a group of n near copies costs about n pairs, and no link
 that would change a component is left out.
 
+*A pair across components* meets in many lists, as near copies below the similarity share most values.
+Each entry of a list therefore carries the ``BEFORE`` values that precede it in the text's own order of rarity: if
+two entries have one of them in common, the pair meets in that list too and is left to it. The entries also
+carry sketches of ``ESTIMATE`` values, so the join itself estimates; only pairs that may be links leave it.
+
 Nulls count as empty texts; texts without words link with nothing. Rows with a null id come back
 with component_id null and kept true. Rows that repeat an id share its component.
 """
@@ -37,11 +42,15 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, components, dropped, mix, utf8, written
 
+#: Values of a sketch that are listed, and values from which pairs across components are estimated.
 SKETCH = 80
+ESTIMATE = 160
+#: Values of the same text that an entry of a list carries.
+BEFORE = 8
 WORDS = 5
 SIMILARITY = 80
 #: Pairs across components for each node of a list, up to which a list gives them all.
-CROSS = 16
+CROSS = 1024
 #: Bits of the map of wanted ids.
 MAP_BITS = 1 << 24
 
@@ -89,24 +98,34 @@ def _shared_needed(m: Column, k: int) -> Column:
 
 
 def listed(nodes: DataFrame, k: int) -> DataFrame:
-    """The inverted lists: (value, id) for the rarest retained values of each node."""
-    entries = nodes.select("id", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    """The inverted lists: (id, n, value, before) for the rarest retained values of each node."""
+    entries = nodes.select("id", "n", F.least(F.size("sketch"), F.lit(k)).alias("m"), F.explode(F.slice("sketch", 1, k)).alias("value"))
     shared = written(entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "op3-shared")
-    per = entries.join(shared, "value").groupBy("id", "m").agg(F.collect_list(F.struct("df", "value")).alias("common"))
+    per = entries.join(shared, "value").groupBy("id", "n", "m").agg(F.collect_list(F.struct("df", "value")).alias("common"))
     # singles come first in the order of rarity, so they use up the prefix
-    take = F.col("m") - _shared_needed(F.col("m"), k) + 1 - (F.col("m") - F.size("common"))
-    per = per.withColumn("take", take).filter("take > 0")
-    out = per.select("id", F.explode(F.slice(F.sort_array("common"), F.lit(1), F.col("take"))).alias("x")).select("id", F.col("x.value").alias("value"))
-    out = written(out, "op3-lists")
+    out = written(_rarest(per, F.col("m") - _shared_needed(F.col("m"), k) + 1 - (F.col("m") - F.size("common"))), "op3-lists")
     dropped(shared)
     return out
 
 
+def _rarest(per: DataFrame, take: Column) -> DataFrame:
+    """(id, n, value, before): the first ``take`` of the shared values of each node in the order of rarity."""
+    firsts = F.slice(F.sort_array("common"), F.lit(1), F.col("take"))["value"]
+    per = per.withColumn("take", take.cast("int")).filter("take > 0").select("id", "n", firsts.alias("firsts"))
+    each = per.select("id", "n", "firsts", F.posexplode("firsts").alias("at", "value"))
+    before = F.slice("firsts", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least("at", F.lit(BEFORE)))
+    return each.select("id", "n", "value", before.alias("before"))
+
+
+def sized(na: Column, nb: Column, similarity: int) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Pairs (a, b) that sizes and the sketch of the union leave possible."""
-    side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    """Pairs (a, b) that the sketch of the union leaves possible."""
+    side = lambda c: nodes.select(F.col("id").alias(c), F.slice("sketch", 1, k).alias(f"s{c}"))
     j = pairs.join(side("b"), "b").join(side("a"), "a")
-    j = j.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(F.col("sa"), F.col("sb")), F.col("union")))
     j = j.withColumn("union", union)
@@ -146,55 +165,66 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -
     return j.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def wanted_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) of ``texts`` whose id is in ``ids`` (distinct); one row for each id.
+def wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose id is in ``ids`` (distinct).
 
     A map of ``MAP_BITS`` bits of the ids (a broadcast of 8 MB at most, whatever their number) first
-    drops most other texts where they are read, so hardly more than the wanted ones is shuffled.
+    drops most other rows where they are read, so hardly more than the wanted ones is shuffled.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
     bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     marks = ids.select(F.floor(place / 64).alias("word"), bit().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    maybe = texts.withColumn("word", F.floor(place / 64)).withColumn("bit", bit()).join(F.broadcast(marks), "word").filter(F.col("bit").bitwiseAND(F.col("bits")) != 0)
-    return maybe.select("id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    maybe = rows.withColumn("word", F.floor(place / 64)).withColumn("bit", bit()).join(F.broadcast(marks), "word").filter(F.col("bit").bitwiseAND(F.col("bits")) != 0)
+    return maybe.select(*rows.columns).join(ids, "id", "left_semi")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: int, k: int) -> DataFrame:
+def linked(maybe: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """The links among candidate pairs (a, b)."""
-    maybe = written(estimated(pairs, nodes, k, similarity), "op3-maybe")
+    maybe = written(maybe, "op3-maybe")
     if maybe.isEmpty():
         return maybe
     ids = maybe.select(F.col("a").alias("id")).unionByName(maybe.select(F.col("b").alias("id"))).distinct()
-    own = written(wanted_texts(texts, ids), "op3-texts")
+    own = written(wanted(texts, ids).dropDuplicates(["id"]), "op3-texts")
     out = written(confirmed(maybe, own, words, similarity), "op3-links")
     dropped(maybe, own)
     return out
 
 
 def placed(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """(value, id, c): the entries of lists that hold more than one component."""
-    own = written(lists.join(parts, "id", "left").select("value", "id", F.coalesce("component_id", "id").alias("c")), "op3-own")
+    """(value, id, n, before, c): the entries of lists that hold more than one component."""
+    own = written(lists.join(parts, "id", "left").select("value", "id", "n", "before", F.coalesce("component_id", "id").alias("c")), "op3-own")
     mixed = own.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("value")
     out = written(own.join(mixed, "value"), "op3-mixed")
     dropped(own)
     return out
 
 
-def with_pivots(own: DataFrame, number: int) -> DataFrame:
+def with_pivots(own: DataFrame, number: int, similarity: int) -> DataFrame:
     """Pairs (a, b) of a random node of each list and all its nodes in other components."""
     key = F.xxhash64("value", "id", F.lit(number))
-    pivots = own.groupBy("value").agg(F.min(F.struct(key.alias("o"), "id", "c")).alias("x")).select("value", F.col("x.id").alias("p"), F.col("x.c").alias("pc"))
-    met = own.join(pivots, "value").filter("c <> pc")
+    pivots = own.groupBy("value").agg(F.min(F.struct(key.alias("o"), "id", "c", "n")).alias("x")).select("value", F.col("x.id").alias("p"), F.col("x.c").alias("pc"), F.col("x.n").alias("pn"))
+    met = own.join(pivots, "value").filter((F.col("c") != F.col("pc")) & sized(F.col("n"), F.col("pn"), similarity))
     return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def across(own: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a value and are in different components."""
-    groups = written(own.select("value", "c").distinct(), "op3-groups")
-    meet = groups.join(groups.select("value", F.col("c").alias("d")), "value").filter("c < d")
-    left = meet.join(own.select("value", "c", F.col("id").alias("x")), ["value", "c"])
-    both = left.join(own.select("value", F.col("c").alias("d"), F.col("id").alias("y")), ["value", "d"])
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def across(own: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """All pairs (a, b) that share a value, are in different components and may be links by their sketches.
+
+    With ``least_share`` of the union's sketch: .65 of 160 values is below 0.8 of them by more than four
+    standard deviations; a union of fewer values is known as a whole.
+    """
+    sides = written(own.join(wanted(nodes.select("id", "sketch"), own.select("id").distinct()), "id"), "op3-sides")
+    x, y = sides.alias("x"), sides.select(*[F.col(c).alias(f"{c}2") for c in sides.columns]).alias("y")
+    common = F.size(F.array_intersect("sketch", "sketch2"))
+    union = F.slice(F.sort_array(F.array_union("sketch", "sketch2")), 1, ESTIMATE)
+    least_share = F.lit(0.65 * similarity / SIMILARITY)
+    smaller = F.least(F.size("sketch"), F.size("sketch2"))
+    both = F.size(F.array_intersect(F.array_intersect("sketch", "sketch2"), union))
+    whole = (F.col("n") + F.col("n2") - common <= ESTIMATE) & (common * 100 >= (F.col("n") + F.col("n2") - common) * similarity)
+    met = (F.col("value") == F.col("value2")) & (F.col("c") < F.col("c2")) & sized(F.col("n"), F.col("n2"), similarity) & ~F.arrays_overlap("before", "before2")
+    may = (common >= smaller * least_share) & (whole | ((F.col("n") + F.col("n2") - common > ESTIMATE) & (both >= F.size(union) * least_share)))
+    out = x.join(y, met & may)
+    return out.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def crossing(own: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +236,7 @@ def crossing(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def whole_lists(ids: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """(value, id): the rarest fifth of the whole shingle sets of the texts with these ids.
+    """(id, n, value, before): the rarest fifth of the whole shingle sets of the texts with these ids.
 
     A linked pair shares at least similarity % of either set; so the first common value in the order of
     rarity is among the first n - ceil(n * similarity / 100) + 1 of both.
@@ -219,41 +249,40 @@ def whole_lists(ids: DataFrame, texts: DataFrame, words: int, similarity: int) -
                 own = shingle_set(h, words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i), pa.int64()), pa.array(np.full(len(own), len(own)), pa.int64()), pa.array(own, pa.int64())], names=["id", "n", "value"])
 
-    entries = written(wanted_texts(texts, ids).select("id", "text").mapInArrow(run, "id long, n long, value long"), "op3-whole")
+    entries = written(wanted(texts, ids).dropDuplicates(["id"]).mapInArrow(run, "id long, n long, value long"), "op3-whole")
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     common = entries.join(shared, "value")
-    single = common.groupBy("id", "n").agg(F.collect_list(F.struct("df", "value")).alias("common"))
-    take = (F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100)) + 1 - (F.col("n") - F.size("common"))).cast("int")
-    out = single.withColumn("take", take).filter("take > 0").select("id", F.explode(F.slice(F.sort_array("common"), F.lit(1), F.col("take"))).alias("x"))
-    out = written(out.select("id", F.col("x.value").alias("value")), "op3-whole-lists")
+    per = common.groupBy("id", "n").agg(F.collect_list(F.struct("df", "value")).alias("common"))
+    out = written(_rarest(per, F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100)) + 1 - (F.col("n") - F.size("common"))), "op3-whole-lists")
     dropped(entries)
     return out
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
-    made = written(sketches(docs, id_col, text_col, words, k), "op3-sketches")
+    made = written(sketches(docs, id_col, text_col, words, max(k, ESTIMATE)), "op3-sketches")
     sets = made.filter("id is not null and n > 0")
     per_set = sets.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     reps = written(per_set.select("digest", "lo", "hi", "x.*"), "op3-nodes")
     nodes = reps.select("id", "n", "sketch")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lists = listed(nodes, k)
-    least = lists.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("hi")).filter("a < hi").drop("hi")
-    stars = lists.join(written(least, "op3-least"), "value").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = linked(stars, nodes, texts, words, similarity, k)
+    least = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("x"), F.max("id").alias("hi")).filter("x.id < hi").select("value", F.col("x.id").alias("a"), F.col("x.n").alias("na"))
+    stars = lists.join(written(least, "op3-least"), "value").filter((F.col("id") != F.col("a")) & sized(F.col("n"), F.col("na"), similarity))
+    stars = stars.select("a", F.col("id").alias("b")).distinct()
+    links = linked(estimated(stars, nodes, k, similarity), texts, words, similarity)
     parts = _parts([links])
     own = placed(lists, parts)
     if not own.isEmpty():
-        more = linked(with_pivots(own, 1), nodes, texts, words, similarity, k)
+        more = linked(estimated(with_pivots(own, 1, similarity), nodes, k, similarity), texts, words, similarity)
         parts = _parts([links, more])
         own = placed(lists, parts)
         few, many = crossing(own)
         ids = written(many.select("id").distinct(), "op3-many")
-        rest = across(few)
+        rest = across(few, nodes, similarity)
         if not ids.isEmpty():
-            rest = rest.unionByName(across(placed(whole_lists(ids, texts, words, similarity), parts))).distinct()
-        last = linked(rest, nodes, texts, words, similarity, k)
+            rest = rest.unionByName(across(placed(whole_lists(ids, texts, words, similarity), parts), nodes, similarity)).distinct()
+        last = linked(rest, texts, words, similarity)
         parts = _parts([links, more, last])
     # a set held by several rows, or linked: its component; the others are alone
     grouped = reps.join(parts, "id", "left").filter("lo < hi or component_id is not null").select("digest", F.coalesce("component_id", "id").alias("component_id"))
