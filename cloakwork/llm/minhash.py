@@ -23,7 +23,8 @@ that would change a component is left out.
 *A pair across components* meets in many lists, as near copies below the similarity share most values.
 Each entry of a list therefore carries the ``BEFORE`` values that precede it in the text's own order of rarity: if
 two entries have one of them in common, the pair meets in that list too and is left to it. The entries also
-carry sketches of ``ESTIMATE`` values, so the join itself estimates; only pairs that may be links leave it.
+carry the sketch in 16 bits a value, so the join itself counts the common ones (at times one too many, never one too few);
+only pairs that may be links leave it, and go on to the sketch of the union.
 
 Nulls count as empty texts; texts without words link with nothing. Rows with a null id come back
 with component_id null and kept true. Rows that repeat an id share its component.
@@ -42,9 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, components, dropped, mix, utf8, written
 
-#: Values of a sketch that are listed, and values from which pairs across components are estimated.
 SKETCH = 80
-ESTIMATE = 160
 #: Values of the same text that an entry of a list carries.
 BEFORE = 8
 WORDS = 5
@@ -99,7 +98,7 @@ def _shared_needed(m: Column, k: int) -> Column:
 
 def listed(nodes: DataFrame, k: int) -> DataFrame:
     """The inverted lists: (id, n, value, before) for the rarest retained values of each node."""
-    entries = nodes.select("id", "n", F.least(F.size("sketch"), F.lit(k)).alias("m"), F.explode(F.slice("sketch", 1, k)).alias("value"))
+    entries = nodes.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     shared = written(entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "op3-shared")
     per = entries.join(shared, "value").groupBy("id", "n", "m").agg(F.collect_list(F.struct("df", "value")).alias("common"))
     # singles come first in the order of rarity, so they use up the prefix
@@ -124,7 +123,7 @@ def sized(na: Column, nb: Column, similarity: int) -> Column:
 
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> DataFrame:
     """Pairs (a, b) that the sketch of the union leaves possible."""
-    side = lambda c: nodes.select(F.col("id").alias(c), F.slice("sketch", 1, k).alias(f"s{c}"))
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
     j = pairs.join(side("b"), "b").join(side("a"), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(F.col("sa"), F.col("sb")), F.col("union")))
@@ -207,23 +206,28 @@ def with_pivots(own: DataFrame, number: int, similarity: int) -> DataFrame:
     return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def across(own: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """All pairs (a, b) that share a value, are in different components and may be links by their sketches.
+def enough_shared(na: Column, nb: Column, common: Column, similarity: int, k: int) -> Column:
+    """Whether sketches with so many common values can be those of linked sets.
 
-    With ``least_share`` of the union's sketch: .65 of 160 values is below 0.8 of them by more than four
-    standard deviations; a union of fewer values is known as a whole.
+    A linked pair has i >= s / (1 + s) * (na + nb) common shingles, s the similarity. If both sets are whole in their
+    sketches, so are these; else each is in the sketch of the larger set with a probability of k / max(na, nb).
+    4.5 standard deviations below that mean are let through.
     """
-    sides = written(own.join(wanted(nodes.select("id", "sketch"), own.select("id").distinct()), "id"), "op3-sides")
-    x, y = sides.alias("x"), sides.select(*[F.col(c).alias(f"{c}2") for c in sides.columns]).alias("y")
-    common = F.size(F.array_intersect("sketch", "sketch2"))
-    union = F.slice(F.sort_array(F.array_union("sketch", "sketch2")), 1, ESTIMATE)
-    least_share = F.lit(0.65 * similarity / SIMILARITY)
-    smaller = F.least(F.size("sketch"), F.size("sketch2"))
-    both = F.size(F.array_intersect(F.array_intersect("sketch", "sketch2"), union))
-    whole = (F.col("n") + F.col("n2") - common <= ESTIMATE) & (common * 100 >= (F.col("n") + F.col("n2") - common) * similarity)
+    least = (na + nb) * similarity / F.lit(100.0 + similarity)
+    p = F.least(least / F.greatest(na, nb), F.lit(1.0))
+    return common >= F.when(F.greatest(na, nb) <= k, least - 1e-9).otherwise(p * k - F.sqrt(p * (1 - p) * k) * 4.5)
+
+
+def across(own: DataFrame, nodes: DataFrame, similarity: int, k: int) -> DataFrame:
+    """All pairs (a, b) that share a value, are in different components and may be links by what their sketches share."""
+    short = F.transform("sketch", lambda v: (v.bitwiseAND(F.lit(0xFFFF).cast("long")) - 0x8000).cast("smallint"))
+    marks = wanted(nodes.select("id", "sketch"), own.select("id").distinct()).select("id", short.alias("marks"))
+    x = written(own.join(marks, "id"), "op3-sides")
+    y = x.select(*[F.col(c).alias(f"{c}2") for c in x.columns])
     met = (F.col("value") == F.col("value2")) & (F.col("c") < F.col("c2")) & sized(F.col("n"), F.col("n2"), similarity) & ~F.arrays_overlap("before", "before2")
-    may = (common >= smaller * least_share) & (whole | ((F.col("n") + F.col("n2") - common > ESTIMATE) & (both >= F.size(union) * least_share)))
-    out = x.join(y, met & may)
+    # values of a text that agree in their 16 bits count each, so that no common value is lost
+    common = F.size(F.array_intersect("marks", "marks2")) + F.size("marks") - F.size(F.array_distinct("marks"))
+    out = x.join(y, met & enough_shared(F.col("n"), F.col("n2"), common, similarity, k))
     return out.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -260,11 +264,13 @@ def whole_lists(ids: DataFrame, texts: DataFrame, words: int, similarity: int) -
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, k: int = SKETCH) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
-    made = written(sketches(docs, id_col, text_col, words, max(k, ESTIMATE)), "op3-sketches")
+    made = written(sketches(docs, id_col, text_col, words, k), "op3-sketches")
     sets = made.filter("id is not null and n > 0")
     per_set = sets.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     reps = written(per_set.select("digest", "lo", "hi", "x.*"), "op3-nodes")
     nodes = reps.select("id", "n", "sketch")
+    whole, made = made, written(made.select("id", "n", "digest"), "op3-sets")
+    dropped(whole)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lists = listed(nodes, k)
     least = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("x"), F.max("id").alias("hi")).filter("x.id < hi").select("value", F.col("x.id").alias("a"), F.col("x.n").alias("na"))
@@ -279,10 +285,10 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = placed(lists, parts)
         few, many = crossing(own)
         ids = written(many.select("id").distinct(), "op3-many")
-        rest = across(few, nodes, similarity)
+        rest = across(few, nodes, similarity, k)
         if not ids.isEmpty():
-            rest = rest.unionByName(across(placed(whole_lists(ids, texts, words, similarity), parts), nodes, similarity)).distinct()
-        last = linked(rest, texts, words, similarity)
+            rest = rest.unionByName(across(placed(whole_lists(ids, texts, words, similarity), parts), nodes, similarity, k)).distinct()
+        last = linked(estimated(rest, nodes, k, similarity), texts, words, similarity)
         parts = _parts([links, more, last])
     # a set held by several rows, or linked: its component; the others are alone
     grouped = reps.join(parts, "id", "left").filter("lo < hi or component_id is not null").select("digest", F.coalesce("component_id", "id").alias("component_id"))
