@@ -174,7 +174,8 @@ def wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     marks = ids.select(F.floor(place / 64).alias("word"), bit().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     maybe = rows.withColumn("word", F.floor(place / 64)).withColumn("bit", bit()).join(F.broadcast(marks), "word").filter(F.col("bit").bitwiseAND(F.col("bits")) != 0)
-    return maybe.select(*rows.columns).join(ids, "id", "left_semi")
+    # an inner join: the optimizer moves a semi-join below the map, and then all rows are shuffled
+    return maybe.select(*rows.columns).join(ids, "id")
 
 
 def linked(maybe: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
