@@ -7,10 +7,11 @@ the probability of its bucket over the whole corpus. The score of a document is
 log P(word | both sides) over all its words.
 
 *Counts* of the word buckets cover every word of every document: each task adds up its own, one
-aggregation adds those. *Training* visits every document in every round, at every ``stride``-th
-position from an offset that differs by round, so what is learned from grows with the corpus; each
-task runs minibatches from the common weights, and the rounds' weights are averaged by the number of
-trained words, weight by weight, in one aggregation. Only the model (its size is fixed) reaches the driver.
+aggregation adds those. *Training* predicts every word of every document in every round (a caller's
+``stride`` above 1 takes every ``stride``-th word of each document, from an offset that differs by round; ``stride``
+rounds cover all); each task runs minibatches of ``BATCH`` words, dealt from a pool of many documents, from the common
+weights, and the rounds' weights are averaged by the number of trained words, weight by weight, in one aggregation.
+Only the model (its size is fixed) reaches the driver.
 
 Documents without words (null, empty) have n_tokens 0, log_likelihood 0 and a null mean. Rows that
 repeat are scored alike. Every number is reproducible: seeds are fixed and rows of a task are read in order.
@@ -29,8 +30,12 @@ from .common import WordHasher, utf8
 
 CLASSES, WITHIN, INPUTS = 128, 8192, 2048
 DIM, HIDDEN, SIDE = 12, 32, 2
-STRIDE, ROUNDS, BATCH, RATE = 24, 2, 256, 0.05
+STRIDE, ROUNDS, BATCH, RATE = 1, 2, 256, 0.05
 _BLOCK = 2048
+#: Minibatches in a pool.
+_POOL = 64
+#: Logits of at most this size need no shift before exp.
+_SAFE = 60.0
 
 
 def _split(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,9 +71,31 @@ def windows(inputs: np.ndarray) -> np.ndarray:
 
 
 def _forward(p: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = p[0][context].reshape(len(context), -1)
+    x = p[0].take(context.ravel(), axis=0).reshape(len(context), -1)
     h = np.tanh(x @ p[1] + p[2])
-    return x, h, h @ p[3] + p[4]
+    z = h @ p[3]
+    z += p[4]
+    return x, h, z
+
+
+def _bounded(p: list[np.ndarray]) -> bool:
+    """Whether no logit can be so large (|tanh| <= 1) that exp needs a shift."""
+    return bool((np.abs(p[3]).sum(axis=0) + np.abs(p[4])).max() <= _SAFE)
+
+
+def positions(n: int, number: int, stride: int) -> slice:
+    """The words of a text of ``n`` words that a round trains on: some of every text, and all in ``stride`` rounds."""
+    return slice(number % max(min(stride, n), 1), None, stride)
+
+
+def examples(hashes: np.ndarray, number: int, stride: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, class) of a text's words that a round trains on, in pieces of bounded size."""
+    own, size = positions(len(hashes), number, stride), _POOL * BATCH * stride
+    for at in range(own.start, len(hashes), size):
+        lo = max(0, at - SIDE)
+        cls, _, inputs = _split(hashes[lo : at + size + SIDE])
+        part = slice(at - lo, at - lo + size, stride)
+        yield windows(inputs)[part], cls[part]
 
 
 class Trainer:
@@ -83,16 +110,17 @@ class Trainer:
     def step(self, context: np.ndarray, cls: np.ndarray) -> None:
         p, n = self.p, len(cls)
         x, h, z = _forward(p, context)
-        z -= z.max(axis=1, keepdims=True)
+        if not _bounded(p):
+            z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), cls] -= 1
-        z /= n
+        z *= 1 / (n * (z @ np.ones((CLASSES, 1), np.float32)))
+        z[np.arange(n), cls] -= np.float32(1 / n)
         dh = (z @ p[3].T) * (1 - h * h)
         dx = (dh @ p[1].T).reshape(n * 2 * SIDE, DIM)
-        rows, at = np.unique(context.ravel(), return_inverse=True)
-        de = np.zeros((len(rows), DIM), np.float32)
-        np.add.at(de, at, dx)
+        order = np.argsort(context.ravel().astype(np.int16), kind="stable")  # a radix sort; INPUTS fits
+        rows = context.ravel()[order]
+        new = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        rows, de = rows[new], np.add.reduceat(dx.take(order, axis=0), new, axis=0)
         for i, g in ((1, x.T @ dh), (2, dh.sum(axis=0)), (3, h.T @ z), (4, z.sum(axis=0))):
             self.g2[i] += g * g
             p[i] -= RATE * g / np.sqrt(self.g2[i])
@@ -100,6 +128,13 @@ class Trainer:
         p[0][rows] -= RATE * de / np.sqrt(self.g2[0][rows])
         self.seen += n
 
+    def pool(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Steps over all of ``held``; each takes words from all over it, ``BATCH`` at most."""
+        context, cls = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        steps = -(-len(cls) // BATCH)
+        for i in range(steps):
+            self.step(context[i::steps], cls[i::steps])
+
 
 def log_probabilities(p: list[np.ndarray], log_within: np.ndarray, hashes: np.ndarray) -> float:
     """The sum of log P(word | both sides) over one text's words."""
@@ -108,12 +143,12 @@ def log_probabilities(p: list[np.ndarray], log_within: np.ndarray, hashes: np.nd
 
 
 def _sums(p, log_within, context, cls, within) -> np.ndarray:
-    out = np.empty(len(cls))
+    out, bounded = np.empty(len(cls)), _bounded(p)
     for at in range(0, len(cls), _BLOCK):
         own = slice(at, at + _BLOCK)
         z = _forward(p, context[own])[2]
-        top = z.max(axis=1)
-        z -= top[:, None]
+        if not bounded:
+            z -= z.max(axis=1, keepdims=True)
         at_class = z[np.arange(len(z)), cls[own]].astype(np.float64)
         np.exp(z, out=z)
         out[own] = at_class - np.log(z.sum(axis=1)) + log_within[cls[own], within[own]]
@@ -146,21 +181,17 @@ def train_round(docs: DataFrame, flat: np.ndarray, number: int, stride: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, trainer, held, count = WordHasher(), Trainer(shared.value), [], 0
-        phase = number * (stride // 2)
+        hasher, trainer, held, size = WordHasher(), Trainer(shared.value), [], 0
         for batch in batches:
             for h in hasher.texts(utf8(batch.column(1))):
-                first = (phase - count) % stride
-                count += len(h)
-                if first >= len(h):
-                    continue
-                cls, _, inputs = _split(h)
-                held.append((windows(inputs)[first::stride], cls[first::stride]))
-                if sum(len(c) for _, c in held[-64:]) >= BATCH or len(held) >= 64:
-                    trainer.step(np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held]))
-                    held = []
+                for context, cls in examples(h, number, stride):
+                    held.append((context, cls))
+                    size += len(cls)
+                    if size >= _POOL * BATCH:
+                        trainer.pool(held)
+                        held, size = [], 0
         if held:
-            trainer.step(np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held]))
+            trainer.pool(held)
         if trainer.seen:
             n = len(trainer.flat)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(trainer.flat.astype(np.float64) * trainer.seen), pa.array(np.full(n, trainer.seen), pa.int64())], names=["i", "w", "n"])

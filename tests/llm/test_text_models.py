@@ -148,6 +148,50 @@ def test_language_model_learns(spark):
     assert lm_scoring.score(empty, lm_scoring.train(empty, rounds=1)).count() == 0
 
 
+def test_language_model_trains_on_every_word(spark, monkeypatch):
+    from cloakwork.llm.common import WordHasher
+
+    docs = [*[f"a{i}" for i in range(5)], *[" ".join(f"b{i}x{j}" for j in range(i)) for i in range(2, 60)], "", " ".join(f"c{i}" for i in range(40_000))]
+    trained = []
+
+    class Seen(lm_scoring.Trainer):
+        def step(self, context, cls):
+            assert len(cls) <= lm_scoring.BATCH
+            trained.extend(zip(map(tuple, context.tolist()), cls.tolist(), strict=True))
+
+    want = []
+    for h in WordHasher().texts([t.encode() for t in docs]):
+        cls, _, inputs = lm_scoring._split(h)
+        want += zip(map(tuple, lm_scoring.windows(inputs).tolist()), cls.tolist(), strict=True)
+    hashes = list(WordHasher().texts([t.encode() for t in docs]))
+    for stride, rounds in ((lm_scoring.STRIDE, 1), (3, 3)):
+        trained.clear()
+        for number in range(rounds):
+            held = [x for h in hashes for x in lm_scoring.examples(h, number, stride)]
+            assert all(sum(len(c) for _, c in lm_scoring.examples(h, number, stride)) for h in hashes if len(h))
+            Seen(lm_scoring.fresh()).pool(held)
+        assert set(trained) == set(want) and (stride > 1 or sorted(trained) == sorted(want))
+    # the words that a round of the query trains on, as its tasks count them
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    assert trained_words(df, monkeypatch) == [len(want)] * lm_scoring.ROUNDS
+
+
+def trained_words(df, monkeypatch):
+    """The number of trained words of each round with the production parameters."""
+    plain, found = type(df).mapInArrow, []
+
+    def noted(self, run, schema, *more):
+        out = plain(self, run, schema, *more)
+        if schema.startswith("i int"):
+            found.append(out.filter("i = 0").agg(F.sum("n")).first()[0])
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", noted)
+        lm_scoring.train(df)
+    return found
+
+
 PIECES = [("<unk>", 0.0, "special")] + [(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)] + [(p, s, "normal") for p, s in (("\u2581", -5.0), ("a", -4.0), ("b", -4.0), ("ab", -3.0), ("aba", -3.5), ("\u2581ab", -2.0), ("ba", -3.0), ("\u2581\u2581", -4.0), ("bab", -5.5))]
 
 
