@@ -17,6 +17,8 @@ from ..sources.scratch import written
 from .sampling import folds
 
 ROC_POINTS = 100
+#: Trees of the forest, and the most iterations of logistic regression.
+TREES, ITERATIONS = 500, 2000
 
 
 def split_columns(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -52,22 +54,22 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], how: str,
     return [*out, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
 
 
-def models() -> dict[str, tuple[str, Callable]]:
+def models(trees: int = TREES, iterations: int = ITERATIONS) -> dict[str, tuple[str, Callable]]:
     """name: (how numbers are prepared, a factory of (number of training rows))."""
     return {
-        "logistic_regression": ("scaled", lambda n: LogisticRegression(labelCol="label", elasticNetParam=0.5, regParam=1.0 / (1e5 * max(n, 1)), standardization=False, maxIter=50)),
+        "logistic_regression": ("scaled", lambda n: LogisticRegression(labelCol="label", elasticNetParam=0.5, regParam=1.0 / (1e5 * max(n, 1)), standardization=False, maxIter=iterations)),
         "naive_bayes": ("binned", lambda n: NaiveBayes(labelCol="label", modelType="multinomial", smoothing=1.0)),
         "bernoulli_naive_bayes": ("binned", lambda n: NaiveBayes(labelCol="label", modelType="bernoulli", smoothing=1.0)),
-        "random_forest": ("plain", lambda n: RandomForestClassifier(labelCol="label", numTrees=100, featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxDepth=7, impurity="gini", seed=42)),
+        "random_forest": ("plain", lambda n: RandomForestClassifier(labelCol="label", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxDepth=7, impurity="gini", seed=42)),
     }
 
 
-def out_of_fold(df: DataFrame, id_col: str, features: Sequence[str], target: str, model: str, k: int = 5, seed: int = 42, suppressed: str | None = None) -> DataFrame:
+def out_of_fold(df: DataFrame, id_col: str, features: Sequence[str], target: str, model: str, k: int = 5, seed: int = 42, suppressed: str | None = None, trees: int = TREES, iterations: int = ITERATIONS) -> DataFrame:
     """(id, target, prediction, probabilities): every row predicted by a model that didn't see its fold.
 
     suppressed: a boolean column; such rows are left out of training only.
     """
-    how, make = models()[model]
+    how, make = models(trees, iterations)[model]
     numeric, categorical = split_columns(df, features)
     own = folds(prepare(df, numeric, categorical), id_col, k, seed).withColumn("__target", F.col(f"`{target}`").cast("string"))
     own = written(own, "folds")

@@ -222,3 +222,14 @@ def test_reports(spark, people):
     flat = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert [(r["bin"], r["n"]) for r in reporting.histogram(flat, "v").collect()] == [(0, 2)]
     assert "<table>" in reporting.html_table(people.limit(2), "x & y")
+
+
+def test_models_have_all_their_trees_and_iterations(spark):
+    made = {name: make(100) for name, (_, make) in classify.models().items()}
+    assert made["random_forest"].getNumTrees() == 500 and made["logistic_regression"].getMaxIter() == 2000
+    made = {name: make(100) for name, (_, make) in classify.models(trees=7, iterations=9).items()}
+    assert made["random_forest"].getNumTrees() == 7 and made["logistic_regression"].getMaxIter() == 9
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", float(i % 7), str(i % 2)) for i in range(60)], "id long, kind string, n double, label0 string")
+    for model in ("random_forest", "logistic_regression"):
+        got = classify.out_of_fold(df, "id", ["kind", "n"], "label0", model, 2, trees=3, iterations=5)
+        assert got.count() == 60
