@@ -18,7 +18,7 @@ across components (up to ``CROSS`` for each node) give all of these. For nodes i
 them (many texts around one passage) the whole sets are listed, as sketches without a bound: a
 linked pair shares at least 80 of 100 shingles of either, so it meets in the rarest fifth; lists of those
 give all pairs across components. So a group of n near copies costs about n pairs, and no link
-that would change a component is left out but by the estimates (4.5 standard deviations).
+that would change a component is left out but by the estimates (``SPREAD`` standard deviations).
 
 *A pair across components* meets in many lists, as near copies below the similarity share most values.
 Each entry of a list therefore carries the ``BEFORE`` values that precede it in the text's own order of rarity: if
@@ -33,6 +33,7 @@ with component_id null and kept true. Rows that repeat an id share its component
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -44,6 +45,8 @@ from pyspark.sql import functions as F
 from .common import WordHasher, components, dropped, mix, utf8, written
 
 SKETCH = 80
+#: Standard deviations below the mean at which a link may be lost: 48 of 80 values at similarity 0.8.
+SPREAD = 4.4722
 #: Values of the same text that an entry of a list carries.
 BEFORE = 8
 WORDS = 5
@@ -87,22 +90,29 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) ->
     return rows.mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
 
 
-def _shared_needed(m: Column, k: int) -> Column:
+def least_shared(similarity: int, k: int) -> int:
+    """Common values among the k of the union's sketch, which both sketches hold: ``SPREAD`` standard deviations below the mean."""
+    s = similarity / 100
+    return max(1, math.ceil(k * s - SPREAD * math.sqrt(k * s * (1 - s))))
+
+
+def _shared_needed(m: Column, similarity: int, k: int) -> Column:
     """The number of values that two linked sketches share at least, one of them of m values.
 
-    Below k the sketch is the whole set: exactly 0.8 of it if the other set is whole too; the
-    other set can be larger than k, then k - 0.2 * m / 0.8 of its k retained values are in this one.
+    Below k the sketch is the whole set: exactly the share s of it if the other set is whole too; the
+    other set can be larger than k, then k - (1 - s) * m / s of its k retained values are in this one.
     """
-    return F.when(m < k, F.least(F.ceil(m * 0.8), F.ceil(F.lit(float(k)) - m * 0.25))).otherwise(F.lit(k * 3 // 5)).cast("int")
+    whole = F.least(F.ceil(m * similarity / F.lit(100)), F.ceil(F.lit(float(k)) - m * (100 - similarity) / F.lit(similarity)))
+    return F.greatest(F.when(m < k, whole).otherwise(F.lit(least_shared(similarity, k))), F.lit(1)).cast("int")
 
 
-def listed(nodes: DataFrame, k: int) -> DataFrame:
+def listed(nodes: DataFrame, similarity: int, k: int) -> DataFrame:
     """The inverted lists: (id, n, value, before) for the rarest retained values of each node."""
     entries = nodes.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     shared = written(entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "op3-shared")
     per = entries.join(shared, "value").groupBy("id", "n", "m").agg(F.collect_list(F.struct("df", "value")).alias("common"))
     # singles come first in the order of rarity, so they use up the prefix
-    out = written(_rarest(per, F.col("m") - _shared_needed(F.col("m"), k) + 1 - (F.col("m") - F.size("common"))), "op3-lists")
+    out = written(_rarest(per, F.col("m") - _shared_needed(F.col("m"), similarity, k) + 1 - (F.col("m") - F.size("common"))), "op3-lists")
     dropped(shared)
     return out
 
@@ -128,8 +138,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> Da
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(F.col("sa"), F.col("sb")), F.col("union")))
     j = j.withColumn("union", union)
-    # three fifths of the union's sketch: below 0.8 of it by more than four standard deviations
-    return j.filter(both * 5 >= F.least(F.size("union"), F.lit(k)) * 3 * (similarity / 80.0)).select("a", "b")
+    size, s = F.least(F.size("union"), F.lit(k)), similarity / 100
+    return j.filter(both >= size * s - F.sqrt(size * s * (1 - s)) * SPREAD).select("a", "b")
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -211,12 +221,10 @@ def enough_shared(na: Column, nb: Column, common: Column, similarity: int, k: in
     """Whether sketches with so many common values can be those of linked sets.
 
     A linked pair has i >= s / (1 + s) * (na + nb) common shingles, s the similarity. If both sets are whole in their
-    sketches, so are these; else each is in the sketch of the larger set with a probability of k / max(na, nb).
-    4.5 standard deviations below that mean are let through.
+    sketches, so are these; else a common value must be in both sketches, as those of the union's sketch are.
     """
     least = (na + nb) * similarity / F.lit(100.0 + similarity)
-    p = F.least(least / F.greatest(na, nb), F.lit(1.0))
-    return common >= F.when(F.greatest(na, nb) <= k, least - 1e-9).otherwise(p * k - F.sqrt(p * (1 - p) * k) * 4.5)
+    return common >= F.when(F.greatest(na, nb) <= k, least - 1e-9).otherwise(F.lit(float(least_shared(similarity, k))))
 
 
 def across(own: DataFrame, nodes: DataFrame, similarity: int, k: int) -> DataFrame:
@@ -273,7 +281,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole, made = made, written(made.select("id", "n", "digest"), "op3-sets")
     dropped(whole)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lists = listed(nodes, k)
+    lists = listed(nodes, similarity, k)
     least = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("x"), F.max("id").alias("hi")).filter("x.id < hi").select("value", F.col("x.id").alias("a"), F.col("x.n").alias("na"))
     stars = lists.join(written(least, "op3-least"), "value").filter((F.col("id") != F.col("a")) & sized(F.col("n"), F.col("na"), similarity))
     stars = stars.select("a", F.col("id").alias("b")).distinct()

@@ -68,6 +68,28 @@ def test_near_duplicates_when_all_lists_are_crowded(spark, monkeypatch):
     assert got == near_duplicates(rows, 2)
 
 
+def test_bounds_follow_the_similarity(spark):
+    rows = spark.createDataFrame([(1000, 1000, c, 80) for c in (47, 48, 58)], "na long, nb long, common int, m int")
+    one = lambda s: rows.select("common", minhash.enough_shared(F.col("na"), F.col("nb"), F.col("common"), s, 80).alias("ok"), minhash._shared_needed(F.col("m"), s, 80).alias("m")).collect()
+    assert [(r["ok"], r["m"]) for r in one(80)] == [(False, 48), (True, 48), (True, 48)]
+    assert [(r["ok"], r["m"]) for r in one(50)] == [(True, 20)] * 3
+
+
+def test_near_duplicates_below_the_usual_similarity(spark):
+    rng = random.Random(12)
+    rows = list(enumerate(t for _ in range(12) for t in copies(rng, 5, 30)))
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.minhash_dedup(df, words=2, similarity=50).collect()}
+    sets = {i: minhash._shingles(t.encode(), 2) for i, t in rows}
+    want = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j]):
+                a, b = want[i], want[j]
+                want = {x: min(a, b) if c in (a, b) else c for x, c in want.items()}
+    assert got == want
+
+
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c", "", 0), (4, "a b c", "", 0), (4, "a b c", "", 0), (9, "A b c", "", 0)], DOCS)
     got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.minhash_dedup(df, words=2).collect())
