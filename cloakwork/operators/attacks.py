@@ -59,15 +59,24 @@ class Fuzzy:
     threshold: float = 0.8
 
 
+#: Patterns of suppressed attributes that are joined one by one.
+PATTERNS = 64
+
+
 def _tuple_matches(tuples: DataFrame, release_tuples: DataFrame, attrs: Sequence[str]) -> DataFrame:
     """Compatible (target tuple, release tuple): equal, or the release's value is suppressed, in every attribute.
 
     One equi-join for each pattern of suppressed attributes that the release has; with none, there is one pattern.
+    Above ``PATTERNS`` patterns, one equi-join on the pattern and the values that it leaves, of each tuple under each pattern.
     """
     stars = F.concat(*[F.when(is_suppressed(F.col(f"r_{a}")), F.lit("1")).otherwise(F.lit("0")) for a in attrs]) if attrs else F.lit("")
     marked = release_tuples.withColumn("__stars", stars)
-    patterns = [r[0] for r in marked.select("__stars").distinct().limit(1 << min(len(attrs), 12)).collect()]
-    out = []
+    seen = marked.select("__stars").distinct()
+    patterns, out = [r[0] for r in seen.limit(PATTERNS + 1).collect()], []
+    if len(patterns) > PATTERNS:
+        left = lambda side: F.array(*[F.when(F.substring("__stars", i + 1, 1) == "0", F.col(f"{side}_{a}").cast("string")) for i, a in enumerate(attrs)])
+        right = marked.withColumn("__left", left("r")).withColumn("n_suppressed", F.length(F.regexp_replace("__stars", "0", "")))
+        return tuples.join(F.broadcast(seen)).withColumn("__left", left("p")).join(right, ["__stars", "__left"]).drop("__stars", "__left")
     for p in patterns:
         on = [F.col(f"p_{a}") == F.col(f"r_{a}") for a, s in zip(attrs, p, strict=True) if s == "0"]
         part = marked.filter(F.col("__stars") == p).drop("__stars").withColumn("n_suppressed", F.lit(p.count("1")))

@@ -233,3 +233,21 @@ def test_models_have_all_their_trees_and_iterations(spark):
     for model in ("random_forest", "logistic_regression"):
         got = classify.out_of_fold(df, "id", ["kind", "n"], "label0", model, 2, trees=3, iterations=5)
         assert got.count() == 60
+
+
+def test_all_patterns_of_many_attributes_match(spark):
+    attrs = [f"q{i}" for i in range(13)]
+    release = spark.range(1 << 13).select(*[F.when(F.col("id").bitwiseAND(F.lit(1 << i)) > 0, "*").otherwise(f"v{i}").alias(a) for i, a in enumerate(attrs)])
+    projected = spark.createDataFrame([(1, *[f"v{i}" for i in range(13)]), (2, "other", *[f"v{i}" for i in range(1, 13)]), (3, *["x"] * 13)], ", ".join(["id long", *[f"p_{a} string" for a in attrs]]))
+    assert {r["id"]: r["stage1_size"] for r in attacks.stage1(projected, release, "id", attrs).collect()} == {1: 1 << 13, 2: 1 << 12, 3: 1}
+
+
+def test_patterns_joined_at_once_or_one_by_one(spark, monkeypatch):
+    rng = random.Random(6)
+    release = spark.createDataFrame([tuple(rng.choice(["a", "b", "*", None]) for _ in range(3)) for _ in range(80)], "x string, y string, z string")
+    projected = spark.createDataFrame([(i, *[rng.choice(["a", "b", "c", None]) for _ in range(3)]) for i in range(40)], "id long, p_x string, p_y string, p_z string")
+    rel = attacks._release_tuples(release, ["x", "y", "z"])
+    get = lambda: sorted(str(sorted(r.asDict().items())) for r in attacks._tuple_matches(projected, rel, ["x", "y", "z"]).collect())
+    one_by_one = get()
+    monkeypatch.setattr(attacks, "PATTERNS", 2)
+    assert get() == one_by_one and one_by_one
