@@ -93,7 +93,7 @@ def fuzzy_jaccard_scores(unknown: DataFrame, known: DataFrame, unknown_columns:
     pieces = lambda v: F.array_union(F.array(v), F.transform(F.sequence(F.lit(0), F.greatest(F.length(v) - 2, F.lit(0))), lambda i: F.substring(v, i + 1, F.lit(2))))
     left = a.select(F.col("column").alias("unknown"), F.col("value").alias("x")).withColumn("piece", F.explode(F.array_distinct(pieces(F.col("x")))))
     right = b.select(F.col("column").alias("known"), F.col("value").alias("y")).withColumn("piece", F.explode(F.array_distinct(pieces(F.col("y")))))
-    near = left.join(right, "piece").filter(F.levenshtein("x", "y") <= (1 - threshold) * F.greatest(F.length("x"), F.length("y")))
+    near = left.join(right, "piece").filter(F.levenshtein("x", "y") <= (1 - threshold) * F.greatest(F.length("x"), F.length("y")) + 1e-9)
     hits = near.groupBy("unknown", "known").agg(F.count_distinct("x").alias("n"))
     na, nb = a.groupBy(F.col("column").alias("unknown")).agg(F.count("*").alias("na")), b.groupBy(F.col("column").alias("known")).agg(F.count("*").alias("nb"))
     j = hits.join(F.broadcast(na), "unknown").join(F.broadcast(nb), "known")

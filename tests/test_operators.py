@@ -251,3 +251,10 @@ def test_patterns_joined_at_once_or_one_by_one(spark, monkeypatch):
     one_by_one = get()
     monkeypatch.setattr(attacks, "PATTERNS", 2)
     assert get() == one_by_one and one_by_one
+
+
+def test_values_at_the_threshold_are_common(spark):
+    column = lambda *values: spark.createDataFrame([(v,) for v in values], "c string")
+    for x, y in (("abcde", "abcdx"), ("abcdefghij", "abcdefghxy")):
+        assert schema_match.fuzzy_jaccard_scores(column(x), column(y), ["c"], ["c"]).first()["score"] == 1
+    assert schema_match.fuzzy_jaccard_scores(column("abcd"), column("abcx"), ["c"], ["c"]).first()["score"] == 0
