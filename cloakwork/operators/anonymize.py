@@ -164,6 +164,17 @@ def lattice(hierarchies: Sequence[Hierarchy]) -> list[tuple[int, ...]]:
     return list(itertools.product(*[range(h.levels) for h in hierarchies]))
 
 
+def _released(cls: DataFrame, per: DataFrame, freq: Frequencies, model: Model, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The classes with what the model needs to know of them, and whether it lets a class be released."""
+    ok = (F.col("size") >= model.k) & (F.col("kinds") >= model.l if model.l > 1 else F.lit(True))
+    if model.t is None:
+        return cls, ok
+    total = freq.table.groupBy("__s").agg((F.sum("n") / freq.rows).alias("q"))
+    dist = per.join(total.select(F.col("__s").alias("__v"), "q"), F.col("__s").eqNullSafe(F.col("__v"))).join(cls.select("node", *keys, "size"), ["node", *keys])
+    dist = dist.groupBy("node", *keys).agg((0.5 * (F.sum(F.abs(F.col("n") / F.col("size") - F.col("q"))) + 1 - F.sum("q"))).alias("d"))
+    return cls.join(dist, ["node", *keys]), ok & (F.col("d") <= model.t + 1e-12)
+
+
 def scan(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) -> DataFrame:
     """One row per node: classes kept, rows suppressed, sizes, sum of squared sizes, rows not in their class's majority, ..."""
     names = [h.attr for h in freq.hierarchies]
@@ -174,13 +185,7 @@ def scan(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) -> D
     per = spread.select("__s", "n", F.col("x.node").alias("node"), *gen)
     per = per.groupBy("node", *keys, "__s").agg(F.sum("n").alias("n"))
     cls = per.groupBy("node", *keys).agg(F.sum("n").alias("size"), F.count("__s").alias("kinds"), F.max("n").alias("major"))
-    ok = (F.col("size") >= model.k) & (F.col("kinds") >= model.l if model.l > 1 else F.lit(True))
-    if model.t is not None:
-        total = freq.table.groupBy("__s").agg((F.sum("n") / freq.rows).alias("q"))
-        dist = per.join(total.select(F.col("__s").alias("__v"), "q"), F.col("__s").eqNullSafe(F.col("__v"))).join(cls.select("node", *keys, "size"), ["node", *keys])
-        dist = dist.groupBy("node", *keys).agg((0.5 * (F.sum(F.abs(F.col("n") / F.col("size") - F.col("q"))) + 1 - F.sum("q"))).alias("d"))
-        cls = cls.join(dist, ["node", *keys])
-        ok = ok & (F.col("d") <= model.t + 1e-12)
+    cls, ok = _released(cls, per, freq, model, keys)
     size = F.col("size")
     kept = lambda x: F.coalesce(F.sum(F.when(ok, x)), F.lit(0))
     return cls.groupBy("node").agg(
@@ -210,7 +215,7 @@ def losses(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) ->
     per = spread.select("__s", "n", F.col("x.node").alias("node"), *gen, *lost)
     per = per.groupBy("node", *keys, "__s").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"a{j}")).alias(f"a{j}") for j in range(len(names))])
     cls = per.groupBy("node", *keys).agg(F.sum("n").alias("size"), F.count("__s").alias("kinds"), *[F.sum(f"a{j}").alias(f"a{j}") for j in range(len(names))])
-    ok = (F.col("size") >= model.k) & (F.col("kinds") >= model.l if model.l > 1 else F.lit(True))
+    cls, ok = _released(cls, per, freq, model, keys)
     sums = [F.sum(F.when(ok, F.col(f"a{j}")).otherwise(F.col("size"))).alias(f"a{j}") for j in range(len(names))]
     return {r["node"]: [r[f"a{j}"] / freq.rows for j in range(len(names))] for r in cls.groupBy("node").agg(*sums).collect()}
 
@@ -241,12 +246,11 @@ def best_node(freq: Frequencies, model: Model, measure: str = "loss", aggregate_
             break
         found = [r.asDict() for r in scan(freq, nodes, model).collect()]
         fits = [r for r in found if r["n_suppressed"] <= allowed + 1e-9]
-        exact = losses(freq, [nodes[r["node"]] for r in fits], model) if measure == "loss" and fits and model.t is None else {}
+        exact = losses(freq, [nodes[r["node"]] for r in fits], model) if measure == "loss" and fits else {}
         for i, r in enumerate(fits):
             node = nodes[r["node"]]
-            gone = r["n_suppressed"] / max(freq.rows, 1)
             if measure == "loss":
-                score = aggregate(aggregate_by, exact.get(i) or [x * (1 - gone) + gone for x in bound(freq, node, measure)], weights)
+                score = aggregate(aggregate_by, exact[i], weights)
             elif single:
                 score = score0(node)
             else:

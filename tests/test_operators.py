@@ -258,3 +258,21 @@ def test_values_at_the_threshold_are_common(spark):
     for x, y in (("abcde", "abcdx"), ("abcdefghij", "abcdefghxy")):
         assert schema_match.fuzzy_jaccard_scores(column(x), column(y), ["c"], ["c"]).first()["score"] == 1
     assert schema_match.fuzzy_jaccard_scores(column("abcd"), column("abcx"), ["c"], ["c"]).first()["score"] == 0
+
+
+def test_best_node_is_best_with_closeness(spark):
+    # the rare old are all ill, so their classes are too far from all rows: their loss is not the average one
+    rows = [(i, "young", "ab"[i % 2], "ab"[i // 2 % 2]) for i in range(80)] + [(80 + i, "old", "ab"[i % 2], "b") for i in range(12)]
+    people = spark.createDataFrame(rows, "id long, age string, sex string, illness string")
+    hierarchies = [Hierarchy("age", exprs=(lambda c: c, lambda c: F.lit("*"))), by_expression("sex")]
+    model = A.Model(2, 1, 0.3, 0.2)
+    freq = A.frequencies(people, hierarchies, "illness")
+    nodes = A.lattice(hierarchies)
+    found = {r["node"]: r["n_suppressed"] for r in A.scan(freq, nodes, model).collect()}
+    at = nodes.index((0, 1))
+    assert found[at] == 12
+    # all sexes are one class of two values, so kept rows lose 1 there; the old are lost whole
+    lost = A.losses(freq, nodes, model)
+    assert lost[at][0] == pytest.approx(12 / 92) and lost[at][1] == pytest.approx(1)
+    best = A.best_node(freq, model, aggregate_by="arithmetic_mean")
+    assert best["score"] == pytest.approx(min(A.aggregate("arithmetic_mean", lost[i]) for i in lost if found[i] <= 0.2 * 92))
