@@ -4,7 +4,8 @@ Each text is cut into blocks of a fixed number of bytes. Distinct blocks that oc
 once are sorted and get integer names; a text with a block that no other occurrence shares
 equals no other text and leaves. Then adjacent names are paired, pairs that repeat are sorted
 and named in the same way, and so on until every text left has one name. A name stands for one
-byte string only: no hash takes part, so no collision can join two texts.
+byte string only: no hash takes part, so no collision can join two texts. (SHA-256 only tells
+apart the texts of rows that repeat an id.)
 
 Null text counts as empty; the empty text is one empty block. Rows whose id is null are
 returned as kept, with keep_id null and group_size 1. Rows that repeat an id count as rows.
@@ -36,13 +37,19 @@ def _named(occurrences: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return written(counted.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), tag)
 
 
+def _row(id_col: str, body: Column) -> Column:
+    """What stands for a row: its id, and its text, as an id can come with several. Ordered by id first."""
+    return F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("text"))
+
+
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """Tables (row_id, level, name), one for each round that finished some texts; texts of a (level, name) are equal.
 
+    A row_id is the struct (id, text) of ``_row``; rows that repeat both are one entry with their number as copies.
     Only texts of which every block repeats are listed; all others are single.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("row_id"), body.alias("body"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(_row(id_col, body).alias("row_id"), body.alias("body"))
     parts = rows.select("row_id", F.octet_length("body").alias("size"), F.posexplode(_blocks(F.col("body"), F.octet_length("body"), block_bytes)).alias("pos", "block"))
     names = _named(parts.select("block"), ["block"], "op2-blocks")
     parts = parts.withColumn("n", F.greatest(F.ceil(F.col("size") / block_bytes), F.lit(1)))
@@ -81,15 +88,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from functools import reduce
 
     named = reduce(DataFrame.unionByName, identities(docs, id_col, text_col, block_bytes))
-    groups = named.groupBy("level", "name").agg(F.max("row_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = named.groupBy("level", "name").agg(F.max("row_id")["id"].alias("keep_id"), F.sum("copies").alias("group_size"))
     found = named.join(written(groups, "op2-groups"), ["level", "name"]).select("row_id", "keep_id", "group_size")
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("row_id"), F.sha2(body, 256).alias("text_sha256"))
-    out = rows.join(written(found, "op2-found"), "row_id", "left")
+    out = docs.select(_row(id_col, body).alias("row_id")).join(written(found, "op2-found"), "row_id", "left")
+    own = F.col("row_id.id")
     return out.select(
-        F.col("row_id").alias(id_col),
-        F.coalesce("keep_id", "row_id").alias("keep_id"),
+        own.alias(id_col),
+        F.coalesce("keep_id", own).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("row_id").isNull() | (F.coalesce("keep_id", "row_id") == F.col("row_id"))).alias("kept"),
-        "text_sha256",
+        (own.isNull() | (F.coalesce("keep_id", own) == own)).alias("kept"),
+        F.lower(F.hex("row_id.text")).alias("text_sha256"),
     )

@@ -43,7 +43,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; rows that repeat id and text stay once."""
-    return _staying(docs, exact_dedup(docs)).dropDuplicates(["doc_id", "text"])
+    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha256")).distinct()
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    staying = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]) & (own == keep["__sha256"]), "left_semi")
+    return staying.dropDuplicates(["doc_id", "text"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,21 @@ def test_exact_blocks_and_edges(spark):
         assert got == sorted([(-1, None, 1, True), (1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 2, True), (6, 6, 2, True), (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True)])
 
 
+def test_exact_texts_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    for texts in (("A", "B"), ("A" * 20, "B" * 20)):
+        a, b = texts
+        rows = [(5, a), (5, b), (7, a), (8, b), (9, "c"), (9, "d"), (9, "d"), (11, "e"), (10, "c"), (6, "f"), (6, "")]
+        df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], DOCS)
+        want = [(i, max(j for j, u in rows if u == t), sum(u == t for _, u in rows), i == max(j for j, u in rows if u == t)) for i, t in rows]
+        for block in (7, 8192):
+            got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(df, block_bytes=block).collect())
+            assert got == sorted(want)
+        stay = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, df, "").collect())
+        assert stay == sorted({(i, t) for (i, t), w in zip(rows, want, strict=True) if w[3]})
+
+
 def test_exact_names_never_mix_blocks(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") * 4 for _ in range(rng.randint(1, 6))) for _ in range(200)]
