@@ -41,9 +41,24 @@ def _grams(raw: np.ndarray, buckets: int) -> np.ndarray:
 
 def pieces(raw: bytes) -> Iterator[np.ndarray]:
     """Lower-cased bytes of a text, in pieces that overlap so that no n-gram is lost or doubled much."""
-    low = raw if len(raw) > 1 << 24 else raw.decode("utf-8", "replace").lower().encode()
-    for at in range(0, len(low), _PIECE):
-        yield np.frombuffer(low, np.uint8, min(_PIECE + 2, len(low) - at), at)
+    tail = b""
+    for at, end in _cuts(raw):
+        low = tail + raw[at:end].decode("utf-8", "replace").lower().encode()
+        yield np.frombuffer(low, np.uint8)
+        tail = low[-2:]
+
+
+def _cuts(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Pieces of a text, cut after a space or line end where there is one (so that lower-casing sees whole words), else after a whole character."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + _PIECE)
+        while end < len(raw) and end > at + 1 and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        if end < len(raw):
+            end = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end)) + 1 or end
+        yield at, end
+        at = end
 
 
 def counts_of(raw: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:

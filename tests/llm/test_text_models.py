@@ -57,6 +57,15 @@ def test_language_counts_equal_plain_ones():
     assert n.sum() == 5 + 4 + 3 and n.max() == 2
 
 
+def test_long_texts_are_lower_cased_as_others():
+    for word in ("Été THE ΣΑΣ ", "ÉTÉ", "日本語"):
+        text = word * (17_000_000 // len(word.encode()) + 1)
+        raw = text.encode()
+        parts = list(langid.pieces(raw))
+        low = parts[0].tobytes() + b"".join(p.tobytes()[2:] for p in parts[1:])
+        assert len(raw) > 1 << 24 and max(map(len, parts)) < 1 << 20 and low == text.lower().encode()
+
+
 def test_language_of_nothing(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
     assert langid.identify(spark.createDataFrame([(1, "abc", None, None, "")], DOCS)).first()["lang_pred"] == "und"
