@@ -173,6 +173,21 @@ class WordHasher:
             at = end
 
 
+def slices(batches: Iterator, text_at: int, size: int = 4 << 20) -> Iterator:
+    """Arrow batches cut so that the texts of column ``text_at`` take about ``size`` bytes: memory holds for a slice, or the longest text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text_at).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(lengths), 0
+        while at < len(lengths):
+            before = ends[at] - lengths[at]
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def utf8(column) -> list[bytes]:
     """The values of an Arrow string column in UTF-8; null as empty."""
     import pyarrow as pa

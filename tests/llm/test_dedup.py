@@ -111,6 +111,21 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [(-1, None, True), (4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "an unrelated text of its own"), (1, base), (2, base + " x"), (3, "other"), (3, base + " x"), (3, base + " x")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, t, "", 0) for i, t in order], DOCS).withColumn("KEPT", F.lit(1)).coalesce(1)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.minhash_dedup(df, words=2).collect())
+        assert got == [(1, 5, 1, True), (1, 59, 1, True), (2, 60, 1, False), (3, 1, 3, True), (3, 60, 1, False), (3, 60, 1, False)]
+
+
+def test_equal_sets_of_other_sequences_are_confirmed(spark):
+    rows = list(enumerate(["a b a c a", "a c a b a", "A b  a c a", "b a c a b"]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.minhash_dedup(spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS), words=2).collect()}
+    assert got == near_duplicates(rows, 2)
+
+
 def test_long_text_is_hashed_as_short_ones():
     h = WordHasher()
     text = b" ".join(b"w%d" % (i % 1000) for i in range(400_000))
