@@ -23,9 +23,10 @@ WORDS = 5
 
 
 def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept in ``decided``; null ids compare equal."""
-    keep = decided.filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    """The rows of ``docs`` whose doc_id and text are kept in ``decided``; null ids compare equal."""
+    keep = decided.filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha256")).distinct()
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]) & (own == keep["__sha256"]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; rows that repeat id and text stay once."""
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha256")).distinct()
-    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    staying = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]) & (own == keep["__sha256"]), "left_semi")
-    return staying.dropDuplicates(["doc_id", "text"])
+    return _staying(docs, exact_dedup(docs)).dropDuplicates(["doc_id", "text"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
