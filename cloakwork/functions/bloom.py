@@ -42,9 +42,9 @@ def _modulo(hexed: Column, digits: int, m: int) -> Column:
 
 
 def double_hashed(gram: Column, c: BloomConfig) -> Column:
-    """Positions (h1 + j * h2) mod size of the two halves of the gram's SHA-256."""
-    hexed = F.sha2(F.concat(gram, F.lit(c.salt)), 256)
-    pair = F.array(F.struct(_modulo(_little_endian(hexed, 0, 16), 32, c.size).alias("a"), _modulo(_little_endian(hexed, 16, 16), 32, c.size).alias("b")))
+    """Positions (h1 + j * h2) mod size of the two halves of the gram's SHA-256, which is taken once."""
+    hexed = F.array(F.sha2(F.concat(gram, F.lit(c.salt)), 256))
+    pair = F.transform(hexed, lambda h: F.struct(_modulo(_little_endian(h, 0, 16), 32, c.size).alias("a"), _modulo(_little_endian(h, 16, 16), 32, c.size).alias("b")))
     return F.flatten(F.transform(pair, lambda h: F.array(*[((h["a"] + j * h["b"]) % c.size + c.offset).cast("int") for j in range(c.hashes)])))
 
 

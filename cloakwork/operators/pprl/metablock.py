@@ -41,7 +41,7 @@ def weight(scheme: str) -> Column:
     shared = {"C": F.col("cn"), "S": F.col("sn")}
     if scheme in ("CNC", "SNC", "CND", "SND", "CNJ", "SNJ"):
         s = shared[scheme[0]]
-        return {"C": s / F.sqrt(d1 * d2), "D": 2 * s / (d1 + d2), "J": s / (d1 + d2 - s)}[scheme[2]]
+        return {"C": s / F.sqrt(d1 * d2), "D": 2 * s / (d1 + d2), "J": F.when(F.abs(d1 + d2 - s) > 1e-9, s / (d1 + d2 - s)).otherwise(0.0)}[scheme[2]]
     js = c / (l1 + l2 - c)
     bottom = l1 * l2 * (b - l1) * (b - l2)
     table = {

@@ -148,7 +148,7 @@ PAIRS_SQL = f"""{KEYS_SQL}, nk AS (SELECT key, count(*) FILTER (side = 0) AS n1,
     p_ AS MATERIALIZED (SELECT id1, id2, c::DOUBLE AS c, cn, sn, l1.l::DOUBLE AS l1, l2.l::DOUBLE AS l2, d1::DOUBLE AS d1, d2::DOUBLE AS d2, (SELECT count(*) FROM nk)::DOUBLE AS b, (SELECT count(*) FROM e)::DOUBLE AS n
         FROM e JOIN l l1 ON l1.side = 0 AND l1.id = id1 JOIN l l2 ON l2.side = 1 AND l2.id = id2 JOIN g1 USING (id1) JOIN g2 USING (id2))"""
 WEIGHTS = {
-    "CBS": "c", "CN-CBS": "cn", "SN-CBS": "sn", "CNC": "cn / sqrt(d1 * d2)", "SNC": "sn / sqrt(d1 * d2)", "CND": "2 * cn / (d1 + d2)", "SND": "2 * sn / (d1 + d2)", "CNJ": "cn / (d1 + d2 - cn)", "SNJ": "sn / (d1 + d2 - sn)",
+    "CBS": "c", "CN-CBS": "cn", "SN-CBS": "sn", "CNC": "cn / sqrt(d1 * d2)", "SNC": "sn / sqrt(d1 * d2)", "CND": "2 * cn / (d1 + d2)", "SND": "2 * sn / (d1 + d2)", "CNJ": "CASE WHEN abs(d1 + d2 - cn) > 1e-9 THEN cn / (d1 + d2 - cn) ELSE 0 END", "SNJ": "CASE WHEN abs(d1 + d2 - sn) > 1e-9 THEN sn / (d1 + d2 - sn) ELSE 0 END",
     "COSINE": "c / sqrt(l1 * l2)", "DICE": "2 * c / (l1 + l2)", "ECBS": "c * log10(b / l1) * log10(b / l2)", "JS": "c / (l1 + l2 - c)", "EJS": "c / (l1 + l2 - c) * log10(n / 2 / d1) * log10(n / 2 / d2)",
     "X2": "CASE WHEN l1 * l2 * (b - l1) * (b - l2) <> 0 THEN b * pow(c * b - l1 * l2, 2) / (l1 * l2 * (b - l1) * (b - l2)) ELSE 0 END",
 }

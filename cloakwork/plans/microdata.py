@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bloom import BloomConfig
 from ..operators.hierarchy import Hierarchy, band, by_expression, by_table
 from ..operators.pprl.encode import encode_party, union
+from ..sources.scratch import spread
 
 K, L = 5, 2
 BLOOM = BloomConfig(size=1024, hashes=15, kind="qgrams", q=4)
@@ -80,7 +81,7 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encodings(spark: SparkSession, sf_dir: str, config: BloomConfig = BLOOM) -> DataFrame:
     """(side, id, bits_text) of both parties."""
-    p = parties(spark, sf_dir)
+    p = spread(parties(spark, sf_dir))
     return union([encode_party(p.select("id", F.col("a").alias("text")), 0, "id", ["text"], config), encode_party(p.select("id", F.col("b").alias("text")), 1, "id", ["text"], config)])
 
 

@@ -30,6 +30,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over as many partitions as there are cores, if it has fewer: for costly expressions on few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a Parquet table that any executor can reread."""
     path = new_path(df.sparkSession, name)

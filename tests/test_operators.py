@@ -181,6 +181,43 @@ def test_center_clusters(spark):
     assert kept == {(0, 0), (0, 1)}
 
 
+def centers_one_by_one(edges, threshold):
+    """The kept pairs, in one pass by falling weight."""
+    own = sorted((e for e in edges if e[2] > threshold), key=lambda e: (-e[2], e[0], e[1]))
+    mean = lambda side, i: sum(ws := [e[2] for e in own if e[side] == i]) / len(ws)
+    is_center, kept = {}, set()
+    for i, j, _ in own:
+        ends = ((0, i), (1, j))
+        free = [n for n in ends if n not in is_center]
+        if len(free) == 2:
+            is_center[ends[0]] = mean(0, i) < mean(1, j)
+            is_center[ends[1]] = not is_center[ends[0]]
+            kept.add((i, j))
+        elif len(free) == 1 and any(is_center.get(n) for n in ends):
+            is_center[free[0]] = False
+            kept.add((i, j))
+    return kept
+
+
+def test_center_rounds_equal_one_pass(spark):
+    import random
+
+    rng = random.Random(4)
+    for size in (4, 9):
+        edges = sorted({(rng.randrange(size), rng.randrange(size)) for _ in range(3 * size)})
+        edges = [(i, j, rng.choice([0.4, 0.6, 0.7, 0.8, 0.9])) for i, j in edges]
+        df = spark.createDataFrame(edges, "id1 long, id2 long, weight double")
+        assert {(r["id1"], r["id2"]) for r in cluster.center_edges(df).collect()} == centers_one_by_one(edges, 0.5)
+    assert cluster.center_edges(df.limit(0)).count() == 0
+
+
+def test_joint_weights_without_other_keys(spark):
+    rows = [(s, 1, k) for s in (0, 1) for k in ("x", "y")]
+    pairs = metablock.pair_table(spark.createDataFrame(rows, "side int, id long, key string"))
+    # both degrees are 1 and two keys are shared: 1 + 1 - 2 = 0
+    assert metablock.weighted(pairs, "CNJ").first()["weight"] == 0 and metablock.weighted(pairs, "SNJ").first()["weight"] == 1
+
+
 def test_evaluation(spark):
     truth = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "id1 long, id2 long")
     pairs = spark.createDataFrame([(0, 0, 0.9), (1, 2, 0.8), (2, 2, 0.7)], "id1 long, id2 long, weight double")
