@@ -70,3 +70,19 @@ def viterbi(text, scores, fallback):
         out.append(back[n])
         n -= len(back[n])
     return best[-1], out[::-1]
+
+
+def pseudo_likelihood(hashes, words, flat):
+    """The sum of log P(word | two words on each side), one word and one softmax at a time."""
+    from cloakwork.llm import lm_scoring as L
+
+    embed, w1, b1, w2, b2, w3, b3 = (np.asarray(x, float) for x in L.unpacked(flat))
+    buckets = [int(h) % L.FINE for h in hashes]
+    tokens = [int(words.token[b]) for b in buckets]
+    total = 0.0
+    for i, t in enumerate(tokens):
+        sides = [tokens[j] + 1 if 0 <= j < len(tokens) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(np.concatenate([embed[s] for s in sides]) @ w1 + b1)
+        z, y = h @ w2 + b2, h @ w3[t % L.CLASSES] + b3[t % L.CLASSES]
+        total += z[t % L.CLASSES] - np.log(np.exp(z).sum()) + y[t // L.CLASSES] - np.log(np.exp(y).sum()) + float(words.inside[buckets[i]])
+    return total

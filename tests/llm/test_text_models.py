@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
-from brute import viterbi
+from brute import pseudo_likelihood, viterbi
 from pyspark.sql import functions as F
 
 from cloakwork.llm import langid, lm_scoring, mixing, quality
 from cloakwork.llm import sentencepiece_codec as S
+from cloakwork.llm.common import WordHasher
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 EN, FR = "the of and that with from this have".split(), "le la les des que dans pour avec".split()
@@ -131,74 +132,82 @@ def test_top_k_is_exact(spark):
         assert kept == {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
 
 
+def hashed(texts):
+    return list(WordHasher().texts([(t or "").encode() for t in texts]))
+
+
 def test_language_model_learns(spark):
     rng = random.Random(4)
-    text = lambda: " ".join(w for _ in range(40) for w in rng.choice([("red", "fox", "runs"), ("blue", "cat", "sleeps"), ("old", "dog", "barks")]))
-    df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string").repartition(2)
+    text = lambda: " ".join(w for _ in range(80) for w in rng.choice([("red", "fox", "runs"), ("blue", "cat", "sleeps"), ("old", "dog", "barks")]))
+    df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").repartition(2).withColumn("TEXT_", F.lit(1))
     held = [text() for _ in range(20)]
-    model = lm_scoring.train(df, stride=2, rounds=3)
-    from cloakwork.llm.common import WordHasher
-
-    hashes = list(WordHasher().texts([t.encode() for t in held]))
-    p = lm_scoring.unpacked(model[0])
-    mean = np.mean([lm_scoring.log_probabilities(p, model[1], h) / len(h) for h in hashes])
-    blind = [np.zeros_like(x) for x in p]
-    blind[4] = lm_scoring.unpacked(lm_scoring.fresh())[4]
-    counts = np.bincount([int(h) & 127 for x in hashes for h in x], minlength=128)
-    unigram = np.sum(counts / counts.sum() * np.log(np.maximum(counts, 1e-9) / counts.sum()))
-    assert mean > unigram + 0.5  # both sides tell more than frequencies
-    rows = spark.createDataFrame([(1, held[0]), (2, None), (3, ""), (4, " ".join(reversed(held[0].split()))), (1, held[0])], "doc_id long, text string")
-    got = lm_scoring.score(rows, model).collect()
+    words, flat = lm_scoring.train(df, rounds=2)
+    assert words.counts.sum() == 1500 * 240  # every word of every document
+    rows = [(1, held[0]), (2, None), (3, ""), (4, " ".join(reversed(held[0].split()))), (1, held[0]), (5, " ".join(held) + " unseen"), (6, "fox"), (None, "red fox " * 40_000)]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), (words, flat)).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == 5 and by[2]["n_tokens"] == 0 and by[2]["log_likelihood"] == 0 and by[3]["mean_log_likelihood"] is None
-    assert by[1]["log_likelihood"] == pytest.approx(lm_scoring.log_probabilities(p, model[1].astype(np.float32), hashes[0]), rel=1e-5)
-    assert by[1]["log_likelihood"] > by[4]["log_likelihood"]
+    assert len(got) == 8 and by[2]["n_tokens"] == 0 and by[2]["log_likelihood"] == 0 and by[3]["mean_log_likelihood"] is None and by[None]["n_tokens"] == 80_000
+    assert by[5]["mean_log_likelihood"] > -np.log(9) + 0.5  # both sides tell more than the frequencies of nine words
+    assert by[1]["log_likelihood"] > by[4]["log_likelihood"] + 50
+    for i, t in rows:
+        if t and len(t) < 1000:
+            assert by[i]["log_likelihood"] == pytest.approx(pseudo_likelihood(hashed([t])[0], words, flat), rel=1e-4)
     empty = df.limit(0)
-    assert lm_scoring.score(empty, lm_scoring.train(empty, rounds=1)).count() == 0
-
-
-def test_language_model_trains_on_every_word(spark, monkeypatch):
-    from cloakwork.llm.common import WordHasher
-
-    docs = [*[f"a{i}" for i in range(5)], *[" ".join(f"b{i}x{j}" for j in range(i)) for i in range(2, 60)], "", " ".join(f"c{i}" for i in range(40_000))]
-    trained = []
-
-    class Seen(lm_scoring.Trainer):
-        def step(self, context, cls):
-            assert len(cls) <= lm_scoring.BATCH
-            trained.extend(zip(map(tuple, context.tolist()), cls.tolist(), strict=True))
-
-    want = []
-    for h in WordHasher().texts([t.encode() for t in docs]):
-        cls, _, inputs = lm_scoring._split(h)
-        want += zip(map(tuple, lm_scoring.windows(inputs).tolist()), cls.tolist(), strict=True)
-    hashes = list(WordHasher().texts([t.encode() for t in docs]))
-    for stride, rounds in ((lm_scoring.STRIDE, 1), (3, 3)):
-        trained.clear()
-        for number in range(rounds):
-            held = [x for h in hashes for x in lm_scoring.examples(h, number, stride)]
-            assert all(sum(len(c) for _, c in lm_scoring.examples(h, number, stride)) for h in hashes if len(h))
-            Seen(lm_scoring.fresh()).pool(held)
-        assert set(trained) == set(want) and (stride > 1 or sorted(trained) == sorted(want))
-    # the words that a round of the query trains on, as its tasks count them
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
-    assert trained_words(df, monkeypatch) == [len(want)] * lm_scoring.ROUNDS
-
-
-def trained_words(df, monkeypatch):
-    """The number of trained words of each round with the production parameters."""
-    plain, found = type(df).mapInArrow, []
-
-    def noted(self, run, schema, *more):
-        out = plain(self, run, schema, *more)
-        if schema.startswith("i int"):
-            found.append(out.filter("i = 0").agg(F.sum("n")).first()[0])
-        return out
-
-    with monkeypatch.context() as m:
-        m.setattr(type(df), "mapInArrow", noted)
-        lm_scoring.train(df)
-    return found
+    assert lm_scoring.score(empty, lm_scoring.train(empty)).count() == 0
+
+
+def test_tokens_have_a_distribution_given_both_sides():
+    rng = np.random.default_rng(5)
+    counts = np.zeros(lm_scoring.FINE)
+    counts[rng.integers(0, lm_scoring.FINE, 20_000)] += rng.integers(1, 9, 20_000)
+    words = lm_scoring.Vocabulary(counts)
+    flat = lm_scoring.fresh(words.counts)
+    flat += rng.standard_normal(len(flat)).astype(np.float32) * 0.3
+    everything = np.arange(lm_scoring.VOCAB, dtype=np.int16)
+    for context in ([0, 0, 5, 9], [17, 3, 8000, 0]):
+        logs = lm_scoring.Net(flat).log_probabilities(np.tile(np.array(context, np.int16), (lm_scoring.VOCAB, 1)), everything)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+    # the words of a shared token share its probability; a word of its own has all of it
+    shared = words.token == lm_scoring.VOCAB - 1
+    assert np.exp(words.inside[shared].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    assert words.inside[np.argmax(counts)] == 0 and (words.inside[counts == 0] < 0).all()
+
+
+def test_language_model_steps_follow_the_gradient():
+    rng = np.random.default_rng(2)
+    flat = lm_scoring.fresh(rng.integers(0, 50, lm_scoring.VOCAB).astype(float))
+    context, token = rng.integers(0, 40, (60, 4)).astype(np.int16), rng.integers(0, 40, 60).astype(np.int16)
+    net = lm_scoring.Net(flat)
+    net.step(context, token)
+    moved = net.flat - flat
+    mean = lambda w: lm_scoring.Net(w).log_probabilities(context, token).mean()
+    for at in np.argsort(-np.abs(moved))[::400][:12]:
+        near = flat.copy()
+        near[at] += 0.02
+        # Adagrad's first step has the gradient's sign
+        assert np.sign(mean(near) - mean(flat)) == np.sign(moved[at])
+    assert mean(net.flat) > mean(flat)
+
+
+def test_examples_cover_every_word_once(monkeypatch):
+    texts = ["", "one", *[" ".join(f"b{i}x{j}" for j in range(i)) for i in range(2, 40)]]
+    words = lm_scoring.Vocabulary(np.zeros(lm_scoring.FINE))
+    for pool in (lm_scoring._POOL, 7):
+        monkeypatch.setattr(lm_scoring, "_POOL", pool)
+        for h in hashed(texts):
+            t = words.token[lm_scoring.fine(h)]
+            found = list(lm_scoring.examples(t))
+            padded = [0, 0, *[int(x) + 1 for x in t], 0, 0]
+            assert [int(x) for _, own in found for x in own] == t.tolist()
+            assert [c for own, _ in found for c in own.tolist()] == [[padded[i], padded[i + 1], padded[i + 3], padded[i + 4]] for i in range(len(t))]
+
+
+def test_weights_are_averaged_by_their_words():
+    import pyarrow as pa
+
+    table = pa.table({"task": [0, 0], "block": pa.array([3, 3], pa.int32()), "n": [1, 3], "w": [np.float32([1, 2]).tobytes(), np.float32([5, 2]).tobytes()]})
+    got = lm_scoring._averaged(table)
+    assert got.column("n").to_pylist() == [4] and np.frombuffer(got.column("w")[0].as_py(), np.float32).tolist() == [4, 2]
 
 
 PIECES = [("<unk>", 0.0, "special")] + [(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)] + [(p, s, "normal") for p, s in (("\u2581", -5.0), ("a", -4.0), ("b", -4.0), ("ab", -3.0), ("aba", -3.5), ("\u2581ab", -2.0), ("ba", -3.0), ("\u2581\u2581", -4.0), ("bab", -5.5))]
