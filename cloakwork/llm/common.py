@@ -173,6 +173,15 @@ class WordHasher:
             at = end
 
 
+def other_columns(df: DataFrame, new: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """``df`` without the columns that clash with the ``new`` names (as the session compares names), and the DDL of what is left."""
+    same = (lambda c: c) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    taken = {same(c) for c in new}
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    own = df.select(*[F.col(quoted(c)) for c in df.columns if same(c) not in taken])
+    return own, ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in own.schema)
+
+
 def slices(batches: Iterator, text_at: int, size: int = 4 << 20) -> Iterator:
     """Arrow batches cut so that the texts of column ``text_at`` take about ``size`` bytes: memory holds for a slice, or the longest text."""
     import pyarrow as pa

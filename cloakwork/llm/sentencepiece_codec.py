@@ -10,7 +10,9 @@ bytes, so decoding gives every text back exactly. No piece goes on past the end
 text falls into words that are segmented on their own, each distinct one once (a table of bounded
 size keeps them); if a vocabulary has pieces across words, whole texts are segmented.
 
-Null and empty texts have no pieces. Texts of any length are handled; memory is in proportion to the longest word.
+Null and empty texts have no pieces. Texts of any length are handled; the search holds a window of a word, or of a text where
+pieces go across words, however long it is. Rows that repeat are encoded alike. Columns of the input whose names clash with
+the new ones (also in another case, unless the session tells cases apart) are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from .common import other_columns
 
 SPACE = "▁"
 #: Words that the table of one task keeps, and the longest of them.
 WORDS_KEPT, WORD_LENGTH = 300_000, 48
+#: Characters that one pass holds the best paths of; longer where these have not met.
+WINDOW = 1 << 16
 
 
 def vocabulary(path: str) -> list[tuple[str, float, str]]:
@@ -66,12 +70,13 @@ class Codec:
             raise ValueError("the model has no byte pieces: texts could not be given back")
         self.automaton.make_automaton()
         self.fallback = min((s for s in scores if s > -1e8), default=0.0) - 10.0
+        self.longest = max((len(p) for p, _, k in pieces if k == "normal"), default=1)
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, k in pieces if k == "normal")
         self.cut_lines = "\n" not in chars
         self.known: dict[str, bytes] = {}
 
-    def viterbi(self, word: str, stand_in: str = "") -> list[int]:
-        """Ids of the best segmentation. stand_in: what stands for a U+2581 of the text."""
+    def _scan(self, word: str) -> list[tuple[int, int]]:
+        """For each position of the word the (length, id) of the piece that ends there on its best path; id -1: the fallback."""
         n = len(word)
         best, back = [0.0] + [-1e300] * n, [(0, -1)] * (n + 1)
         singles, at = self.singles, 0
@@ -90,6 +95,10 @@ class Codec:
             at += 1
             if word[at - 1] not in singles:
                 best[at], back[at] = best[at - 1] + self.fallback, (1, -1)
+        return back
+
+    def _path(self, word: str, back: list[tuple[int, int]], n: int, stand_in: str) -> list[int]:
+        """Ids on the best path to position ``n``."""
         out = []
         while n > 0:
             length, i = back[n]
@@ -102,9 +111,33 @@ class Codec:
         out.reverse()
         return out
 
-    def _ids(self, word: str) -> bytes:
-        got = np.array(self.viterbi(word.replace(" ", SPACE)), np.int32).tobytes()
-        if len(word) <= WORD_LENGTH:
+    def viterbi(self, word: str, stand_in: str = "") -> list[int]:
+        """Ids of the best segmentation. stand_in: what stands for a U+2581 of the text.
+
+        A long word goes in windows: the best paths to the last positions of a window, on one of which every longer
+        path goes on, are followed back to where they meet; what is before that is final.
+        """
+        out, at, window = [], 0, WINDOW
+        while len(word) - at > window:
+            part = word[at : at + window]
+            back = self._scan(part)
+            open_ = set(range(len(part) - self.longest + 1, len(part) + 1))
+            while len(open_) > 1:
+                end = max(open_)
+                open_.remove(end)
+                open_.add(max(0, end - back[end][0]))
+            cut = open_.pop()
+            if cut <= 0:
+                window *= 2
+                continue
+            out += self._path(part, back, cut, stand_in)
+            at, window = at + cut, WINDOW
+        part = word[at:]
+        return out + self._path(part, self._scan(part), len(part), stand_in)
+
+    def _ids(self, word: str, stand_in: str) -> bytes:
+        got = np.array(self.viterbi(word.replace(" ", SPACE), stand_in), np.int32).tobytes()
+        if len(word) <= WORD_LENGTH and not (stand_in and stand_in in word):
             if len(self.known) >= WORDS_KEPT:
                 self.known.clear()
             self.known[word] = got
@@ -113,11 +146,12 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
+        stand_in = ""
         if SPACE in text:
             stand_in = next(c for c in map(chr, range(0xF0000, 0x110000)) if c not in text and c not in self.singles)
-            return np.array(self.viterbi((" " + text.replace(SPACE, stand_in)).replace(" ", SPACE), stand_in), np.int32)
+            text = text.replace(SPACE, stand_in)
         if not self.by_word:
-            return np.array(self.viterbi((" " + text).replace(" ", SPACE)), np.int32)
+            return np.array(self.viterbi((" " + text).replace(" ", SPACE), stand_in), np.int32)
         # a word has all the spaces before it; a line end that no piece holds is a word of its own
         if "  " in text or text[0] == " ":
             words = re.findall(r" +(?:[^ \n]+|(?=\n)|$)|[^ \n]+|\n" if self.cut_lines else r" +[^ ]*", " " + text)
@@ -126,7 +160,7 @@ class Codec:
         else:
             words = re.findall(r" +[^ ]*", " " + text)
         known, ids = self.known.get, self._ids
-        return np.frombuffer(b"".join([known(w) or (ids(w) if w else b"") for w in words]), np.int32)
+        return np.frombuffer(b"".join([known(w) or (ids(w, stand_in) if w else b"") for w in words]), np.int32)
 
     def decode(self, ids) -> str:
         of = self.bytes_of
@@ -154,10 +188,6 @@ def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, rows)
 
 
-def _schema(docs: DataFrame, keep: list[str]) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
-
-
 def _share(docs: DataFrame, pieces: list):
     return docs.sparkSession.sparkContext.broadcast((hash(tuple(pieces)), pieces))
 
@@ -169,10 +199,13 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, str]], text_col: str
     """
     shared = _share(docs, pieces)
     new = ("ids", "n_pieces", "decoded_sha256", "round_trip")
-    keep = [c for c in docs.columns if c not in new]
+    kept, schema = other_columns(docs, new)
+    keep = kept.columns
     at = keep.index(text_col)
     out = [c for c in keep if keep_text or c != text_col]
-    schema = _schema(docs, out) + ", ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean"
+    if not keep_text:
+        schema = other_columns(kept, (text_col,))[1]
+    schema = ", ".join(x for x in (schema, "ids array<int>, n_pieces long, decoded_sha256 string, round_trip boolean") if x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -185,13 +218,14 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, str]], text_col: str
                 more = [_lists(ids), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*columns, *more], names=[*out, *new])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, pieces: list[tuple[str, float, str]], ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with the text of its ids (null ids: null text); a column of that name is replaced."""
     shared = _share(encoded, pieces)
-    keep = [c for c in encoded.columns if c != text_col]
+    kept, schema = other_columns(encoded, (text_col,))
+    keep = kept.columns
     at = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +235,4 @@ def decode(encoded: DataFrame, pieces: list[tuple[str, float, str]], ids_col: st
                 texts = [None if x is None else codec.decode(x) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, text_col])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _schema(encoded, keep) + f", `{text_col}` string")
+    return kept.mapInArrow(run, f"{schema}, `{text_col}` string")

@@ -48,23 +48,50 @@ def test_language_never_reads_the_label(spark, docs):
     assert a == b
 
 
-def test_language_counts_equal_plain_ones():
-    raw = ("Été the " * 2000).encode()
-    hit, n = langid.counts_of(raw, 1 << 14)
-    low = raw.decode().lower().encode()
-    assert n.sum() == pytest.approx(3 * len(low) - 3, abs=8)
-    short = "abcab"
-    hit, n = langid.counts_of(short.encode(), 1 << 14)
-    assert n.sum() == 5 + 4 + 3 and n.max() == 2
+@pytest.mark.parametrize("piece", [langid.PIECE, 5])
+def test_language_counts_equal_plain_ones(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    texts = ["Été the " * 20, "", "日本語", "a", "ab", "a\n b", "\U0001f600x\U0001f600x"]
+    doc, bucket, n = langid.sparse(texts, 1 << 14)
+    for i, t in enumerate(texts):
+        low = t.lower()
+        plain = [low[j : j + g] for g in (1, 2, 3) for j in range(len(low) - g + 1)]
+        number = {g: int(langid.grams([g], 1 << 14)[1][-1]) for g in set(plain)}
+        want = np.bincount([number[g] for g in plain], minlength=1 << 14)
+        got = np.zeros(1 << 14, int)
+        got[bucket[doc == i]] = n[doc == i]
+        assert (got == want).all()
+
+
+def test_language_batches_equal_plain_bayes():
+    rng = np.random.default_rng(3)
+    model = langid.LanguageModel(["a", "b", "c"], rng.standard_normal((1 << 14, 3)), np.log([0.2, 0.5, 0.3]))
+    texts = ["the of and", "", "12", "été", "the of and", "x" * 3000]
+    for t, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        total, k = model.priors.copy(), 0
+        for b in langid.grams([t], 1 << 14)[1]:
+            total, k = total + model.logs[b], k + 1
+        z = np.exp((total - total.max()) / max(1, k**0.5))
+        letter = any(c.isalpha() for c in t)
+        assert lang == (model.langs[int(total.argmax())] if letter else "und")
+        assert score == pytest.approx(1 / z.sum() if letter else 0)
+    ties = langid.LanguageModel(["x", "y"], np.zeros((1 << 14, 2)), np.log([0.5, 0.5]))
+    assert ties.predict(["abc"]) == [("x", 0.5)]
 
 
 def test_long_texts_are_lower_cased_as_others():
     for word in ("Été THE ΣΑΣ ", "ÉTÉ", "日本語"):
         text = word * (17_000_000 // len(word.encode()) + 1)
-        raw = text.encode()
-        parts = list(langid.pieces(raw))
-        low = parts[0].tobytes() + b"".join(p.tobytes()[2:] for p in parts[1:])
-        assert len(raw) > 1 << 24 and max(map(len, parts)) < 1 << 20 and low == text.lower().encode()
+        parts = list(langid.pieces(text))
+        low = np.concatenate([p[known:] for p, known in parts])
+        assert max(len(p) for p, _ in parts) < 1 << 19 and (low == np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)).all()
+
+
+def test_language_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "the of", "en", 7, 8), (3, "le la", "fr", 7, 8)], "doc_id long, text string, lang string, LANG_PRED int, `a b` int")
+    got = langid.predict(df, langid.train(df))
+    assert got.columns == ["doc_id", "text", "lang", "a b", "lang_pred", "score"]
+    assert {r["lang_pred"] for r in got.collect()} == {"en", "fr"}
 
 
 def test_language_of_nothing(spark):
@@ -233,9 +260,19 @@ def test_round_trips():
         assert codec.decode(codec.encode(text).tolist()) == text
 
 
+def test_long_words_in_windows_equal_one_pass(monkeypatch):
+    rng = random.Random(8)
+    codec = S.Codec(PIECES)
+    texts = ["".join(rng.choice("ab\u00e9\u2581") for _ in range(rng.randint(60, 400))) for _ in range(40)] + ["a" * 500, "ab" * 300, "\u2581" * 99]
+    whole = [codec.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(S, "WINDOW", 16)
+    assert [codec.encode(t).tolist() for t in texts] == whole
+    assert [codec.decode(x) for x in whole] == texts
+
+
 def test_codec_on_tables(spark):
     rows = [(1, "aba bab", "x"), (2, None, "y"), (3, "", "z"), (1, "aba bab", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, IDS string")
     got = S.encode(df, PIECES)
     assert got.columns == ["doc_id", "text", "ids", "n_pieces", "decoded_sha256", "round_trip"]
     assert all(r["round_trip"] for r in got.collect())
