@@ -20,7 +20,8 @@ pair of blocks a task of its own.
 
 Vectors with a null label or id, null or zero vectors, and vectors with null or non-finite
 components link with nothing; vectors of different lengths are not linked. Rows that repeat an id
-count as vectors of their own in n_links. With a null id component_id is null and kept true.
+count as vectors of their own in n_links. With a null id component_id is null and kept true. Components of any finite
+size count (1e-200 as well as 1e200). Columns other than the id, the vector and the label are not read, so their names can clash with nothing.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, dropped, written
 
 THRESHOLD = 0.98
 TREES, SPILL = 4, 0.8
@@ -51,7 +53,9 @@ def margin(dim: int, threshold: float, spill: float) -> float:
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors; divided by the largest component first, so that no square is lost or infinite."""
     x = np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -67,6 +71,8 @@ def fit(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int) ->
             p = sample[own] @ dirs[node]
             cuts[node] = np.median(p) if len(own) else 0.0
             held[2 * node], held[2 * node + 1] = own[p <= cuts[node] + spill], own[p > cuts[node] - spill]
+        if not np.isfinite(cuts).all():
+            raise ValueError("a median is not finite")
         out.append((dirs, cuts))
     return out
 
@@ -118,9 +124,17 @@ def _split_on(placed: DataFrame, nodes: DataFrame, spill: float, threshold: floa
 
         def run(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaf, v = batch.column(2).to_numpy(), batch.column(3)
-                p = [float(np.dot(x := np.asarray(v[i].values, np.float64), _direction(int(leaf[i]) * 31 + number + seed, len(x))) / np.linalg.norm(x)) for i in range(len(leaf))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p, pa.float64()), pa.array([margin(len(x), threshold, spill) for x in v], pa.float64())], names=["id", "kind", "leaf", "p", "near"])
+                leaf, dims = batch.column(2).to_numpy(), pc.list_value_length(batch.column(3)).to_numpy()
+                p, near = np.empty(len(leaf)), np.empty(len(leaf))
+                for dim in np.unique(dims):
+                    own = np.flatnonzero(dims == dim)
+                    own = own[np.argsort(leaf[own], kind="stable")]
+                    x = _unit(batch.column(3).take(pa.array(own)), int(dim))
+                    near[own] = margin(int(dim), threshold, spill)
+                    ends = np.flatnonzero(np.diff(leaf[own])) + 1
+                    for rows, part in zip(np.split(own, ends), np.split(x, ends), strict=True):
+                        p[rows] = part @ _direction(int(leaf[rows[0]]) * 31 + number + seed, int(dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p), pa.array(near)], names=["id", "kind", "leaf", "p", "near"])
 
         shown = written(there.select("id", "kind", "leaf", "v").mapInArrow(run, "id long, kind string, leaf long, p double, near double"), "op4-shown")
         cuts = shown.groupBy("kind", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("cut"))
@@ -128,7 +142,8 @@ def _split_on(placed: DataFrame, nodes: DataFrame, spill: float, threshold: floa
         new = shown.join(written(cuts, "op4-cuts"), ["kind", "leaf"]).select("id", "kind", F.col("leaf").alias("up"), F.explode(sides).alias("side"))
         # 2^62 leaves: of one number by chance only once in very many, which then are compared as one leaf
         new = new.select("id", "kind", F.shiftrightunsigned(F.xxhash64("up", "side", F.lit(number)), 2).alias("leaf")).distinct()
-        placed = written(placed.join(large.select("kind", "leaf"), ["kind", "leaf"], "left_anti").unionByName(new), "op4-placed")
+        placed, old = written(placed.join(large.select("kind", "leaf"), ["kind", "leaf"], "left_anti").unionByName(new), "op4-placed"), placed
+        dropped(old, large, shown)
     return placed
 
 
@@ -215,6 +230,7 @@ def forest_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ci", F.least("chunk", "with")).withColumn("cj", F.greatest("chunk", "with"))
     found = met.select("kind", "leaf", "ci", "cj", "chunk", "id", "weight", "v", "leaves").groupBy("kind", "leaf", "ci", "cj").applyInArrow(_compare(threshold), "id long, links long, root long")
     found = written(found, "op4-found")
+    dropped(placed)
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "op4-cc")
     per_class = nodes.select("id", "kind", "h1", "h2", "weight").join(linked, "id", "left").join(parts, "id", "left")

@@ -17,6 +17,7 @@ one row per source reaches the driver (more than ``MAX_SOURCES`` raise an error)
 
 Size is the number of words ``[^\\x20\\x09-\\x0D]+`` of the text; null counts 0. Documents of size 0
 and documents of a source whose target is 0 are taken 0 times. Rows with equal ids are documents of their own.
+Columns other than the id, the text and the source are not read, so their names can clash with nothing; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 GOLDEN = (5**0.5 - 1) / 2
 WEIGHTS = (3, 1, 2)
@@ -35,6 +36,8 @@ SHARE, MOST = 1.5, 2.0
 #: Words in a block, and the number of blocks that a source has at least (if it has as many words).
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 1024
 MAX_SOURCES = 1_000_000
+#: Sources up to which their plan, a row of numbers for each, is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 _RUN = 4096
 
 
@@ -57,9 +60,15 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, sh
 def schedule(spark: SparkSession, plan: DataFrame, slots: int) -> DataFrame:
     """(slot, source_no, rank) of all slots. plan: source_no, lo, hi (its part of the unit interval), most."""
     line = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / _RUN).alias("run"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
-    bounds = [r["hi"] for r in plan.orderBy("source_no").select("hi").collect()]
-    # width_bucket over the cumulative weights, one bound for each source
-    dealt = line.select("slot", "run", F.least(F.expr(f"size(filter(array({', '.join(f'{b!r}D' for b in bounds)}), x -> x <= point))"), F.lit(len(bounds) - 1)).alias("source_no")) if len(bounds) <= 64 else line.join(F.broadcast(plan) if len(bounds) <= 10_000 else plan, (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("slot", "run", "source_no")
+    used = plan.filter("hi > lo").select("source_no", "lo", "hi")
+    n, last = used.agg(F.count("*"), F.max("source_no")).first()
+    cells = 1 << max(0, n - 1).bit_length() + 2
+    # each source is listed under the cells of the unit interval that its part touches: cells and sources together at most
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    ends = used.withColumn("hi", F.when(F.col("source_no") == F.lit(last), F.lit(2.0)).otherwise(F.col("hi")))  # no point is beyond the last
+    listed = ends.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    near = line.withColumn("cell", cell(F.col("point"))).join(F.broadcast(listed) if n <= BROADCAST_SOURCES else listed, "cell")
+    dealt = near.filter((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("slot", "run", "source_no")
     of_run = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = dealt.groupBy("source_no", "run").agg(F.count("*").alias("n")).select("source_no", "run", F.coalesce(F.sum("n").over(of_run), F.lit(0)).alias("before"))
     inside = dealt.withColumn("k", F.row_number().over(Window.partitionBy("source_no", "run").orderBy("slot")) - 1)
@@ -87,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         plan.append((i, s, int(words[s]), float(goal[s]), int(blocks), at, hi, 1 << max(0, math.ceil(math.log2(max(1, number[s] / 2048))))))
         at = hi
     plan = written(spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long, lo double, hi double, parts int").coalesce(1), "op7-plan")
-    few = F.broadcast(plan) if len(words) <= 10_000 else plan
+    few = F.broadcast(plan) if len(words) <= BROADCAST_SOURCES else plan
     placed = sized.join(few, sized["source"].eqNullSafe(plan["source"])).select("id", "order", "size", sized["source"], "source_no", "source_size", "target", "blocks", "parts")
     # where each document begins on its source's line: within its part, then the parts before
     placed = placed.withColumn("part", F.pmod(F.shiftrightunsigned("order", 20), F.col("parts").cast("long")))
@@ -96,6 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = placed.groupBy("source_no", "part").agg(F.sum("size").alias("w")).select("source_no", "part", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("offset"))
     lined = placed.withColumn("inner", F.coalesce(F.sum("size").over(place), F.lit(0))).join(parts, ["source_no", "part"]).withColumn("start", F.col("offset") + F.col("inner"))
     lined = written(lined.select("id", "source", "source_no", "size", "source_size", "target", "blocks", "start"), "op7-lined")
+    dropped(sized)
     used = written(schedule(spark, plan, round(slots)), "op7-schedule")
     cap = few.select("source_no", "blocks")
     # a rank beyond most x blocks would use a block too often

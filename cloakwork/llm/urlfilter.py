@@ -7,7 +7,8 @@ fits decides (of equally long ones ``block``, then the smaller text).
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from
 there up to ``?``, ``#`` or the end. A null URL or one without ``://`` has both empty and no rule.
-URLs that no rule fits get the default verdict. Rows that repeat stay; null ids stay.
+URLs that no rule fits get the default verdict. Rows that repeat stay; null ids stay. A rule with an empty path fits all
+paths of its hosts. Only the id and the URL are read, so other columns' names can clash with nothing; URLs of any length are taken whole.
 
 The index is as long as the rule list. Up to ``broadcast_rules`` rules it is broadcast (a rule
 is a short string, so that bounds its size); a longer list is joined by a shuffle, in which the
@@ -64,7 +65,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     urls = written(parsed.select("host", "path").distinct(), "op8-urls")
     held = urls.select("host", "path", F.explode(tokens_of(F.concat_ws("/", "host", "path"))).alias("token"))
     listed = spark.createDataFrame(
-        [(v, h.lower() + p, rf"\A(?:[^/]*\.)?{re.escape(h.lower())}{re.escape(p)}", rule_tokens(h.lower(), p)) for v, h, p in rules],
+        [(v, h.lower() + p, rf"\A(?:[^/]*\.)?{re.escape(h.lower())}(?=/|\z){re.escape(p)}", rule_tokens(h.lower(), p)) for v, h, p in rules],
         "verdict string, rule string, pattern string, tokens array<string>",
     )
     small = len(rules) <= broadcast_rules

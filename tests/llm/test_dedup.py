@@ -164,6 +164,18 @@ def test_embeddings_equal_brute_force(spark, leaf_rows):
     assert got == embedding_links(rows)
 
 
+def test_vectors_of_extreme_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors(rng, 30, 2))]
+    n = len(rows)
+    rows += [(n, [1e-200] + [0.0] * 15, 1), (n + 1, [1e200] + [0.0] * 15, 1), (n + 2, [3e200, 1e190] + [0.0] * 14, 1), (n + 3, [5e-324] * 16, 1), (n + 4, [1e308] * 16, 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>, label int")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest_dedup(df, leaf_rows=16, sample=64).collect()}
+        scaled = [(i, [x / max(map(abs, v)) for x in v], l) for i, v, l in rows]
+        assert got == embedding_links(scaled)
+
+
 def test_a_crowd_of_close_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal(8)

@@ -136,6 +136,73 @@ def test_schedule_follows_the_weights_everywhere(spark):
         assert all(abs(s - w * (i + 1)) < 6 for s, w in zip(seen, (0.5, 0.1, 0.4), strict=True))
 
 
+def mixed_plainly(rows):
+    """doc number: words taken; one slot and one word block at a time. rows: (number, source, size), in the order of their hash."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want, order = mixing.targets(sizes), sorted(sizes, key=lambda s: (s is None, s or ""))
+    blocks = {s: min(sizes[s], max(mixing.LEAST_BLOCKS, -(-sizes[s] // mixing.BLOCK_WORDS))) for s in order}
+    share = {s: want[s] * blocks[s] / sizes[s] if sizes[s] else 0.0 for s in order}
+    total, ends, at = sum(share.values()), [], 0.0
+    for s in order:
+        at += share[s] / total
+        ends.append(at)
+    used, uses = dict.fromkeys(order, 0), {}
+    for slot in range(round(total)):
+        point = (slot + 1) * mixing.GOLDEN % 1.0
+        s = next((s for s, end in zip(order, ends, strict=True) if point < end), [s for s in order if share[s]][-1])
+        if used[s] < 2 * blocks[s]:
+            block = used[s] % blocks[s]
+            uses[s, block] = uses.get((s, block), 0) + 1
+        used[s] += 1
+    taken, begin = {}, dict.fromkeys(order, 0)
+    for number, s, n in rows:
+        taken[number] = sum(uses.get((s, w * blocks[s] // sizes[s]), 0) for w in range(begin[s], begin[s] + n))
+        begin[s] += n
+    return taken
+
+
+def test_mix_equals_a_plain_one(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "b", "c", None]), 1) for i in range(200)], "doc_id long, text string, source string, TAKEN int")
+    order = docs.select("doc_id", "source", F.size(F.filter(F.split("text", " "), lambda x: x != "")).alias("n"), F.xxhash64(F.lit(7), "doc_id", "text").alias("h")).orderBy("h").collect()
+    want = mixed_plainly([(r["doc_id"], r["source"], r["n"]) for r in order])
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == want
+
+
+@pytest.mark.parametrize("sources", [70, 20_000])
+def test_many_sources_without_a_nested_loop(spark, sources):
+    plan = spark.range(sources).select(F.col("id").cast("int").alias("source_no"), (F.col("id") / sources).alias("lo"), ((F.col("id") + 1) / sources).alias("hi"))
+    found = mixing.schedule(spark, plan, 4 * sources)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    counts = found.groupBy("source_no").count().agg(F.sum("count"), F.max("count"), F.count("*")).first()
+    assert counts[0] == 4 * sources and counts[1] <= 6 and counts[2] == sources
+
+
+def test_quality_weights_equal_plain_ones(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(EN) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(70, None), (71, "the " * 40_000)]
+    labels = spark.createDataFrame([(i, i % 3 > 0, 0) for i in range(30)], "doc_id long, quality boolean, toxic int").withColumn("quality", F.col("quality").cast("int"))
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, KEPT int")
+    raw, target, own = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS), {}
+    for (i, _), h in zip(rows, hashed([t for _, t in rows]), strict=True):
+        own[i] = [int(x) >> 40 & quality.BUCKETS - 1 for x in h]
+        for a, b in zip(h, h[1:], strict=False):
+            own[i].append(((int(a) * 0x9E3779B97F4A7C15 ^ int(b)) * 0xC2B2AE3D27D4EB4F % (1 << 64)) >> 40 & quality.BUCKETS - 1)
+        for g in own[i]:
+            raw[g] += 1
+            target[g] += i < 30 and i % 3 > 0
+    logs = np.log((target + 1) / (target.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    got = quality.resample(df, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["n_grams"] == len(own[r["doc_id"]]) and r["log_ratio"] == pytest.approx(sum(logs[g] for g in own[r["doc_id"]]), abs=1e-6)
+    best = sorted(got, key=lambda r: (-r["key"], r["doc_id"]))[: round(2 / 3 * len(rows))]
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in best}
+
+
 def test_quality_prefers_the_target(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(EN if i % 4 else ["#%", "!!", "xx"]) for _ in range(40))) for i in range(400)] + [(900, None), (901, "")]

@@ -83,6 +83,58 @@ def test_salvage_of_damaged_members():
     assert kinds(b"") == [] and kinds(b"\x1f\x8b\x08") == [("gap", 0, 3, None)]
 
 
+def test_salvage_inside_members():
+    a, b, c = (warc.record("response", i, t, hashlib.sha256(t).hexdigest(), len(t)) for i, t in enumerate((b"alpha" * 50, b"beta" * 50, b"gamma" * 50)))
+    wrong = b.replace(b"betabeta", b"bettbeta", 1)
+    other = warc.member(a)
+    raw = warc.member(a + wrong + c) + other
+    found = list(warc.salvage(raw))
+    assert [(k, x.get("id")) for k, _, _, x in found] == [("record", 0), ("record", 2), ("gap", None), ("record", 0)]
+    gap = found[2][3]
+    assert (gap["why"], gap["inner_first"], gap["inner_end"]) == ("damaged record in a member", len(a), len(a + wrong))
+    # a member that ends too early gives the records before
+    import random
+
+    rng = random.Random(1)
+    noise = bytes(rng.randrange(256) for _ in range(60_000))
+    long = warc.record("response", 9, noise, hashlib.sha256(noise).hexdigest(), len(noise))
+    whole = warc.member(a + c + long)
+    for cut in (whole[: len(whole) // 2], whole[:30_000] + b"\xff" * 40 + whole[30_040:]):
+        found = list(warc.salvage(cut + other))
+        assert [x["id"] for k, _, _, x in found if k == "record"] == [0, 2, 0]
+        assert any(k == "gap" and x["why"] == "damaged member" for k, _, _, x in found)
+
+
+def test_salvage_searches_an_archive_once(monkeypatch):
+    searches = []
+
+    class Counted(warc._Next):
+        def after(self, at):
+            before, out = self.at, super().after(at)
+            if self.at != before:
+                searches.append(self.at - max(before, at, 0))
+            return out
+
+    monkeypatch.setattr(warc, "_Next", Counted)
+    raw = b"\x1f\x8b\x08" * 3000 + b"z" * 100_000 + members()[0]
+    found = list(warc.salvage(raw))
+    assert [k for k, *_ in found] == ["gap", "record"] and sum(searches) < 4 * len(raw)
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://org-x.com/a", "x" * 120, "k", 5), (2, "http://org/a", "x" * 120, "k", 6)], "page_id long, url string, html string, HOST string, `digest` int")
+    rules = [("block", "org", "")]
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter(df, rules).collect()} == {1: (None, "allow"), 2: ("org", "block")}
+    assert {r["page_id"]: r["refers_to"] for r in warc.warc_round_trip(df).collect()} == {1: None, 2: 1}
+
+
+def test_long_urls_and_payloads(spark):
+    df = spark.createDataFrame([(1, "http://example.org/es/" + "a/" * 500_000, "é" * 3_000_000)], "page_id long, url string, html string")
+    row = url_filter(df).first()
+    assert (row["verdict"], len(row["path"])) == ("block", 1_000_004)
+    assert warc.warc_round_trip(df).first()["payload_bytes"] == 6_000_000
+
+
 def test_salvage_of_plain_records():
     t = b"WARC/1.0\r\nnot a record" * 5
     good = warc.record("response", 5, t, hashlib.sha256(t).hexdigest(), len(t))
