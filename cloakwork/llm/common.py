@@ -23,14 +23,15 @@ _PIECE = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset: a temporary folder in local mode, the warehouse elsewhere.
+    Only where that is unset: a temporary folder in local mode; on a cluster an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIR:
-            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-            _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="cloakwork-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_cloakwork"
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="cloakwork-")
         found = _OWN_DIR[app]
     return found.rstrip("/")
 

@@ -8,7 +8,7 @@ from cloakwork.llm import mixing  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA) or not os.path.exists(corpus_pipeline.PIECES), reason="needs the driver's tables and tokenizers")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, __x int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, __lang int"
 
 
 def test_stages_one_after_another(spark):
@@ -42,6 +42,8 @@ def test_odd_rows_through_all_stages(spark):
         assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")]
     ids = {r["doc_id"] for r in docs.collect()}
     assert ids <= {4, None, 6} and ids
+    near = corpus_pipeline.near(spark, spark.createDataFrame([(1, "a b", "KEPT", 1, 2), (2, "a b", "x", 3, 4), (2, "c d", "y", 5, 6)], "doc_id long, text string, lang string, __KEEP int, __sha256 int"), DATA)
+    assert sorted(tuple(r) for r in near.collect()) == [(1, "a b", "KEPT", 1, 2), (2, "c d", "y", 5, 6)]
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
