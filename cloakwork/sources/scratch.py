@@ -11,13 +11,14 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where unset a folder of our own (in local mode a temporary one)."""
+    """spark.checkpoint.dir of the session; only where unset a temporary folder in local mode; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
-            local = spark.sparkContext.master.split("[")[0] == "local"
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cloakwork-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_cloakwork"
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cloakwork-")
         found = _OWN[app]
     return found.rstrip("/")
 

@@ -22,11 +22,24 @@ LEAST_SCORE = 0.5
 WORDS = 5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _same(docs: DataFrame) -> list:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id and text are kept in ``decided``; null ids compare equal."""
-    keep = decided.filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha256")).distinct()
-    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]) & (own == keep["__sha256"]), "left_semi")
+    own, sha = _free(docs, "__keep"), _free(docs, "__sha256")
+    keep = decided.filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
+    text = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[own]) & (text == keep[sha]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +51,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         letter = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
         return docs.filter(letter)
-    found = langid.predict(docs, model, pred_col="__lang", score_col="__score")
-    return found.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = _free(docs, "__lang"), _free(docs, "__score")
+    found = langid.predict(docs, model, pred_col=lang, score_col=score)
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*_same(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +72,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are taken as often as the one taken most.
     """
     taken = mixing.mix(docs).filter("size > 0")
-    times = taken.select(F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = times.filter("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, times, copy = _free(docs, "__id"), _free(docs, "__times"), _free(docs, "__copy")
+    uses = taken.select(F.col("doc_id").alias(own), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    uses = uses.filter(F.col(times) > 0).groupBy(own).agg(F.max(times).alias(times))
+    out = docs.join(uses, docs["doc_id"].eqNullSafe(uses[own]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*_same(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
