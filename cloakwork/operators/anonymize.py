@@ -129,6 +129,8 @@ class Frequencies:
     #: For each attribute and level: mean loss, mean non-uniform entropy (bits), per row.
     loss: dict[str, list[float]] = field(default_factory=dict)
     entropy: dict[str, list[float]] = field(default_factory=dict)
+    #: The table with the numbers of leaves of all labels, and the sizes of the domains, once something asks for them.
+    leaves: tuple[DataFrame, list[int]] | None = None
 
 
 def frequencies(df: DataFrame, hierarchies: Sequence[Hierarchy], sensitive: str | None) -> Frequencies:
@@ -196,28 +198,50 @@ def scan(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) -> D
 
 
 
-def losses(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) -> dict[int, list[float]]:
-    """For each node the exact mean loss of each attribute where suppressed rows lose 1."""
+def _with_leaves(freq: Frequencies) -> tuple[DataFrame, list[int]]:
+    """The frequency table with leaves<j>, the number of leaves of each level's label, and the sizes of the domains; made once."""
+    if freq.leaves is None:
+        table, domains = freq.table, []
+        for j, h in enumerate(freq.hierarchies):
+            labels = f"levels_{h.attr}"
+            own = (h.table.select(F.col("levels").alias("ls")) if h.table is not None else table.select(F.col(f"`{labels}`").alias("ls"))).distinct()
+            domains.append(own.count())
+            size = own.select(F.posexplode("ls").alias("level", "label")).groupBy("level", "label").agg(F.count("*").alias("leaves"))
+            of = own.select("ls", F.posexplode("ls").alias("level", "label")).join(size, ["level", "label"]).groupBy("ls").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "leaves"))), lambda r: r["leaves"]).alias(f"leaves{j}"))
+            table = table.join(of.withColumnRenamed("ls", f"ls{j}"), F.col(f"`{labels}`") == F.col(f"ls{j}"), "left").drop(f"ls{j}")
+        freq.leaves = written(table, "leaves"), domains
+    return freq.leaves
+
+
+def _per_class(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model, values) -> tuple[DataFrame, Column, int]:
+    """The classes of all nodes with the sums a0, a1, ... over their rows of what ``values`` makes of the label's leaves, a list of columns."""
     names = [h.attr for h in freq.hierarchies]
-    table = freq.table
-    for j, h in enumerate(freq.hierarchies):
-        labels = f"levels_{h.attr}"
-        leaves = (h.table.select(F.col("levels").alias("ls")) if h.table is not None else table.select(F.col(f"`{labels}`").alias("ls"))).distinct()
-        domain = leaves.count()
-        size = leaves.select(F.posexplode("ls").alias("level", "label")).groupBy("level", "label").agg(F.count("*").alias("leaves"))
-        of = leaves.select("ls", F.posexplode("ls").alias("level", "label")).join(size, ["level", "label"]).groupBy("ls").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", ((F.col("leaves") - 1) / F.lit(float(max(domain - 1, 1)))).alias("x")))), lambda r: r["x"]).alias(f"loss{j}"))
-        table = table.join(of.withColumnRenamed("ls", f"ls{j}"), F.col(f"`{labels}`") == F.col(f"ls{j}"), "left").drop(f"ls{j}")
+    table, domains = _with_leaves(freq)
     listed = F.array(*[F.struct(F.lit(i).alias("node"), *[F.lit(l).alias(f"l{j}") for j, l in enumerate(n)]) for i, n in enumerate(nodes)])
     spread = table.withColumn("x", F.explode(listed))
     keys = [f"g{j}" for j in range(len(names))]
     gen = [F.element_at(F.col(f"`levels_{n}`"), F.col(f"x.l{j}") + 1).alias(f"g{j}") for j, n in enumerate(names)]
-    lost = [F.coalesce(F.element_at(f"loss{j}", F.col(f"x.l{j}") + 1), F.lit(0.0)).alias(f"a{j}") for j in range(len(names))]
-    per = spread.select("__s", "n", F.col("x.node").alias("node"), *gen, *lost)
-    per = per.groupBy("node", *keys, "__s").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"a{j}")).alias(f"a{j}") for j in range(len(names))])
-    cls = per.groupBy("node", *keys).agg(F.sum("n").alias("size"), F.count("__s").alias("kinds"), *[F.sum(f"a{j}").alias(f"a{j}") for j in range(len(names))])
-    cls, ok = _released(cls, per, freq, model, keys)
-    sums = [F.sum(F.when(ok, F.col(f"a{j}")).otherwise(F.col("size"))).alias(f"a{j}") for j in range(len(names))]
-    return {r["node"]: [r[f"a{j}"] / freq.rows for j in range(len(names))] for r in cls.groupBy("node").agg(*sums).collect()}
+    found = values([F.coalesce(F.element_at(f"leaves{j}", F.col(f"x.l{j}") + 1), F.lit(1)) for j in range(len(names))], domains)
+    per = spread.select("__s", "n", F.col("x.node").alias("node"), *gen, *[v.alias(f"a{i}") for i, v in enumerate(found)])
+    sums = range(len(found))
+    per = per.groupBy("node", *keys, "__s").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"a{i}")).alias(f"a{i}") for i in sums])
+    cls = per.groupBy("node", *keys).agg(F.sum("n").alias("size"), F.count("__s").alias("kinds"), *[F.sum(f"a{i}").alias(f"a{i}") for i in sums])
+    return *_released(cls, per, freq, model, keys), len(found)
+
+
+def losses(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) -> dict[int, list[float]]:
+    """For each node the exact mean loss of each attribute where suppressed rows lose 1."""
+    cls, ok, n = _per_class(freq, nodes, model, lambda leaves, domains: [(x - 1) / F.lit(float(max(d - 1, 1))) for x, d in zip(leaves, domains, strict=True)])
+    sums = [F.sum(F.when(ok, F.col(f"a{i}")).otherwise(F.col("size"))).alias(f"a{i}") for i in range(n)]
+    return {r["node"]: [r[f"a{i}"] / freq.rows for i in range(n)] for r in cls.groupBy("node").agg(*sums).collect()}
+
+
+def ambiguities(freq: Frequencies, nodes: Sequence[tuple[int, ...]], model: Model) -> dict[int, float]:
+    """For each node the mean number of original combinations that a row's labels allow; a suppressed row allows all."""
+    product = lambda values: math.prod(values[1:], start=values[0])
+    cls, ok, _ = _per_class(freq, nodes, model, lambda leaves, domains: [product([x.cast("double") for x in leaves])])
+    every = F.col("size") * float(math.prod(_with_leaves(freq)[1]))
+    return {r["node"]: r["a0"] / freq.rows for r in cls.groupBy("node").agg(F.sum(F.when(ok, F.col("a0")).otherwise(every)).alias("a0")).collect()}
 
 
 def bound(freq: Frequencies, node: Sequence[int], measure: str) -> list[float]:
@@ -246,11 +270,13 @@ def best_node(freq: Frequencies, model: Model, measure: str = "loss", aggregate_
             break
         found = [r.asDict() for r in scan(freq, nodes, model).collect()]
         fits = [r for r in found if r["n_suppressed"] <= allowed + 1e-9]
-        exact = losses(freq, [nodes[r["node"]] for r in fits], model) if measure == "loss" and fits else {}
+        exact = {"loss": losses, "ambiguity": ambiguities}[measure](freq, [nodes[r["node"]] for r in fits], model) if measure in ("loss", "ambiguity") and fits else {}
         for i, r in enumerate(fits):
             node = nodes[r["node"]]
             if measure == "loss":
                 score = aggregate(aggregate_by, exact[i], weights)
+            elif measure == "ambiguity":
+                score = exact[i]
             elif single:
                 score = score0(node)
             else:
@@ -269,9 +295,7 @@ def _whole(measure: str, r: dict, freq: Frequencies) -> float:
         return n / r["n_classes"] if r["n_classes"] else float("inf")
     if measure == "classification":
         return (r["minority"] + r["n_suppressed"]) / n
-    if measure == "entropy":
-        return (r["size_log"] + r["n_suppressed"] * math.log2(n)) / n
-    return r["size_log"]  # ambiguity: rows that share a label set, as the log of the class's combinations
+    return (r["size_log"] + r["n_suppressed"] * math.log2(n)) / n  # entropy
 
 
 def anonymize(df: DataFrame, roles: Roles, hierarchies: Sequence[Hierarchy], model: Model, measure: str = "loss", aggregate_by: str = "geometric_mean", weights: Sequence[float] | None = None) -> tuple[DataFrame, dict]:

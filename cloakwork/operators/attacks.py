@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_suppressed
 from .hierarchy import Hierarchy, with_levels
+from .ranges import running
 
 
 def visible_levels(release: DataFrame, hierarchies: Sequence[Hierarchy], raw: DataFrame | None = None) -> DataFrame:
@@ -36,6 +37,53 @@ def visible_levels(release: DataFrame, hierarchies: Sequence[Hierarchy], raw: Da
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_suppressed_columns(levels: dict[str, int], release: DataFrame, known: Sequence[str]) -> dict[str, int]:
+    """``levels`` where a known attribute that the release suppresses in every row, though it seems to be in clear, is at level 1: it filters nothing."""
+    own = [a for a in known if levels.get(a) == 0 and a in release.columns]
+    if not own:
+        return dict(levels)
+    gone = release.agg(*[F.coalesce(F.bool_and(is_suppressed(F.col(f"`{a}`"))), F.lit(False)).alias(f"g{i}") for i, a in enumerate(own)]).first()
+    return dict(levels) | {a: 1 for a, x in zip(own, gone, strict=True) if x}
+
+
+def known_attributes(targets: DataFrame, id_col: str, known: Sequence[str] = (), member_col: str = "is_member") -> list[str]:
+    """What an attacker knows: the given attributes, or all columns of the targets but the id and the membership."""
+    return list(known) or [c for c in targets.columns if c not in (id_col, member_col)]
+
+
+def mapped_known(known: Sequence[str], mapping: dict[str, str]) -> tuple[list[str], list[str]]:
+    """(attributes that a recovered schema still has, attributes that it lost). mapping: column of the release to the name that it was recognised as."""
+    found = set(mapping.values())
+    return [a for a in known if a in found], [a for a in known if a not in found]
+
+
+def compatibility(target: Column, projected: Column, released: Column, similarity: Column | None = None, threshold: float = 0.8) -> Column:
+    """struct(kind, score) of a target's value and a released one: exact 1, suppressed 0.25, generalized 0.5, fuzzy its similarity, none 0."""
+    one = lambda kind, score: F.struct(F.lit(kind).alias("kind"), (score if isinstance(score, Column) else F.lit(float(score))).alias("score"))
+    text = F.trim(released.cast("string"))
+    out = F.when(F.trim(target.cast("string")) == text, one("exact", 1)).when(is_suppressed(released), one("suppressed", 0.25)).when(projected == text, one("generalized", 0.5))
+    if similarity is not None:
+        out = out.when(similarity >= threshold, one("fuzzy", similarity.cast("double")))
+    return out.otherwise(one("none", 0))
+
+
+def operation_counts(result: DataFrame, release_rows: int, n_filter: int, n_refine: int) -> DataFrame:
+    """One row: what a linkage attack compares and puts out, were it done row by row.
+
+    Each target tests the ``n_filter`` generalized attributes of all released rows, and the ``n_refine`` clear ones of its first candidates.
+    """
+    per = result.agg(F.count("*").alias("targets_evaluated"), F.coalesce(F.sum("stage1_size"), F.lit(0)).alias("stage1_rows_output"), F.coalesce(F.sum("class_size"), F.lit(0)).alias("class_rows_output"))
+    tests = (F.col("targets_evaluated") * release_rows * n_filter).alias("filter_tests"), (F.col("stage1_rows_output") * n_refine).alias("refinement_tests")
+    out = per.select("*", *tests)
+    return out.withColumn("estimated_total_operations", F.col("filter_tests") + F.col("refinement_tests") + F.col("stage1_rows_output") + F.col("class_rows_output"))
+
+
+def check_linkage(result: DataFrame) -> None:
+    """An error if a target's own record is not among its candidates after the first stage, or a class is larger than them."""
+    if not result.filter("stage1_size < 1 or class_size > stage1_size").isEmpty():
+        raise ValueError("a target's record is outside its candidates")
+
+
 def project(targets: DataFrame, hierarchies: Sequence[Hierarchy], levels: dict[str, int]) -> DataFrame:
     """``targets`` with p_<attr>: what each known value looks like in the release."""
     out = with_levels(targets, hierarchies)
@@ -214,7 +262,7 @@ def best_threshold(decided: DataFrame) -> DataFrame:
     hit = (F.col("candidate_count") > 0).cast("long")
     per = decided.groupBy(F.col("candidate_fraction").alias("f")).agg(F.sum(hit * F.when(F.col("is_member") == 1, 1).otherwise(-1)).alias("gain"), F.sum(1 - F.col("is_member").cast("long")).alias("outs"), F.count("*").alias("n"))
     total = per.agg(F.sum("outs").alias("base"), F.sum("n").alias("total"), F.min("f").alias("lo"))
-    curve = per.select("f", F.sum("gain").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)).alias("gain"))
+    curve = running(per.select("f", "gain"), [F.col("f")], {"upto": F.col("gain")}).select("f", F.col("upto").alias("gain"))
     points = curve.join(F.broadcast(total)).select("f", (F.col("base") + F.col("gain")).alias("right"), "total").unionByName(total.select((F.col("lo") - 1e-12).alias("f"), F.col("base").alias("right"), "total"))
     return points.agg(F.max(F.struct("right", (-F.col("f")).alias("f"), "total")).alias("x")).select((-F.col("x.f")).alias("threshold"), (F.col("x.right") / F.col("x.total")).alias("accuracy"))
 
@@ -223,8 +271,7 @@ def ks_two_sample(decided: DataFrame, value: str = "candidate_fraction", group:
     """One row: the largest distance of the two empirical distributions, and its asymptotic p-value."""
     per = decided.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 1).alias("a"), F.count_if(F.col(group) != 1).alias("b"))
     total = per.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    d = per.select(F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb")).join(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    d = running(per, [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")}).select("ca", "cb").join(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     z = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("ks")
     terms = reduce(lambda a, b: a + b, [2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * z * z) for k in range(1, 101)])
     return d.select("ks", F.when(z < 0.05, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))).alias("p_value"))

@@ -9,11 +9,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import range_midpoint
 from ..sources.scratch import written
+from .ranges import ranked, running
 from .sampling import folds
 
 ROC_POINTS = 100
@@ -110,14 +111,9 @@ def naive_bayes_counts(df: DataFrame, features: Sequence[str], target: str) -> D
 def binary_curve(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """(threshold, tp, fp, n_pos, n_neg): cumulative counts at each distinct score, falling. Only distinct scores are ordered."""
     per = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("n"))
-    ranged = per.repartitionByRange(F.col("threshold").desc()).withColumn("part", F.spark_partition_id())
-    parts = ranged.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select("part", F.coalesce(F.sum("sp").over(w), F.lit(0)).alias("p0"), F.coalesce(F.sum("sn").over(w), F.lit(0)).alias("n0"))
     total = per.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    inside = Window.partitionBy("part").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumn("cp", F.sum("p").over(inside)).withColumn("cn", F.sum("n").over(inside)).join(F.broadcast(before), "part").join(F.broadcast(total))
-    return out.select("threshold", "p", "n", (F.col("p0") + F.col("cp")).alias("tp"), (F.col("n0") + F.col("cn")).alias("fp"), "n_pos", "n_neg")
+    out = running(per, [F.col("threshold").desc()], {"tp": F.col("p"), "fp": F.col("n")})
+    return out.join(F.broadcast(total)).select("threshold", "p", "n", "tp", "fp", "n_pos", "n_neg")
 
 
 def auc(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
@@ -133,7 +129,8 @@ def roc_points(scored: DataFrame, score: str = "score", truth: str = "truth", po
     zero = c.limit(0).unionByName(scored.sparkSession.range(1).select(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
     # at each rate the curve's last point of it, and the segment to the first point of the next rate
     per = c.unionByName(zero).groupBy("x").agg(F.min("y").alias("y_low"), F.max("y").alias("y_high"))
-    seg = per.select("x", "y_low", "y_high", F.lead("x").over(Window.orderBy("x")).alias("x1"), F.lead("y_low").over(Window.orderBy("x")).alias("y1"))
+    at = written(ranked(per, [F.col("x")], "k"), "rates")
+    seg = at.join(at.select((F.col("k") - 1).alias("k"), F.col("x").alias("x1"), F.col("y_low").alias("y1")), "k", "left").select("x", "y_low", "y_high", "x1", "y1")
     grid = F.filter(F.array(*[F.lit(i / (points - 1)) for i in range(points)]), lambda g: (g >= F.col("x")) & (F.col("x1").isNull() | (g < F.col("x1"))))
     out = seg.withColumn("fpr", F.explode(grid))
     return out.select("fpr", F.when(F.col("x1").isNull() | (F.col("fpr") == F.col("x")), F.col("y_high")).otherwise(F.col("y_high") + (F.col("y1") - F.col("y_high")) * (F.col("fpr") - F.col("x")) / (F.col("x1") - F.col("x"))).alias("tpr"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,24 +83,57 @@ def purge(blocks: DataFrame, most: int) -> DataFrame:
     return blocks.join(sizes.select("key"), "key", "left_semi")
 
 
+def _to_all(queries: DataFrame, rows: DataFrame, words: str, broadcast_rows: int) -> DataFrame:
+    """(query_id, qw, id, w) of each query and each other row.
+
+    A stated, counted set of queries goes to all rows: it is broadcast in blocks of ``broadcast_rows``.
+    """
+    parts = max(1, -(-queries.count() // broadcast_rows))
+    q = queries.select(F.col("id").alias("query_id"), F.col(words).alias("qw"))
+    blocks = [q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    own = rows.select("id", F.col(words).alias("w"))
+    return reduce(DataFrame.unionByName, [own.join(F.broadcast(x), F.col("id") != F.col("query_id")) for x in blocks])
+
+
 def hamming_knn(queries: DataFrame, rows: DataFrame, words: str, k: int, broadcast_rows: int = 100_000) -> DataFrame:
     """(query_id, id, distance, rank): the k rows with the fewest different bits; of ties the smaller ids.
 
-    queries, rows: (id, words array<long>). A stated, counted set of queries goes to all rows: it is broadcast in
-    blocks of ``broadcast_rows``, and each task first keeps its own k best.
+    queries, rows: (id, words array<long>). Each task first keeps its own k best of a query.
     """
-    n = queries.count()
-    q = queries.select(F.col("id").alias("query_id"), F.col(words).alias("qw"))
-    found = None
-    parts = max(1, -(-n // broadcast_rows))
-    for i in range(parts):
-        block = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        near = rows.select("id", F.col(words).alias("w")).join(F.broadcast(block), F.col("id") != F.col("query_id")).select("query_id", "id", different_bits(F.col("w"), F.col("qw")).alias("distance"))
-        found = near if found is None else found.unionByName(near)
+    found = _to_all(queries, rows, words, broadcast_rows).select("query_id", "id", different_bits(F.col("w"), F.col("qw")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def jaccard_knn(queries: DataFrame, rows: DataFrame, words: str, k: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """(query_id, id, shared, similarity, rank): the k rows of the largest Jaccard similarity of their bits, exact; of ties the smaller ids.
+
+    queries, rows: (id, words array<long>). Rows that share no bit with the query are not returned.
+    """
+    n = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+    shared = shared_bits(F.col("w"), F.col("qw")).cast("long")
+    both = _to_all(queries, rows, words, broadcast_rows).select("query_id", "id", shared.alias("shared"), (n(F.col("w")) + n(F.col("qw"))).alias("all"))
+    return _nearest(both.filter("shared > 0").select("query_id", "id", "shared", (F.col("shared") / (F.col("all") - F.col("shared"))).alias("similarity")), k)
+
+
+def multihash_knn(queries: DataFrame, rows: DataFrame, bits: str, size: int, k: int, tables: int = 16, width: int = 16, seed: int = 42) -> DataFrame:
+    """As ``jaccard_knn``, among rows that agree with the query on all ``width`` positions of one of ``tables`` draws (approximate)."""
+    drawn = draw(range(size), width, tables, seed)
+    keys = lambda c: F.array(*[F.concat_ws(":", F.lit(t), F.concat(*[F.array_contains(c, p).cast("int").cast("string") for p in ps])) for t, ps in enumerate(drawn)])
+    q = queries.select(F.col("id").alias("query_id"), F.col(bits).alias("bq"), F.explode(keys(F.col(bits))).alias("key"))
+    r = rows.select("id", F.col(bits).alias("br"), F.explode(keys(F.col(bits))).alias("key"))
+    met = q.select("query_id", "key").join(r.select("id", "key"), "key").filter("id <> query_id").select("query_id", "id").distinct()
+    pairs = met.join(queries.select(F.col("id").alias("query_id"), F.col(bits).alias("bq")), "query_id").join(rows.select("id", F.col(bits).alias("br")), "id")
+    shared = F.size(F.array_intersect("bq", "br"))
+    either = F.size(F.array_union("bq", "br"))
+    return _nearest(pairs.select("query_id", "id", shared.cast("long").alias("shared"), F.when(either > 0, shared / either).otherwise(0.0).alias("similarity")), k)
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def evaluate_blocks(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     from .evaluate import pair_scores
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...sources.scratch import written
+from ..ranges import ranked
 
 SCHEMES = ("CBS", "CN-CBS", "SN-CBS", "CNC", "SNC", "CND", "SND", "CNJ", "SNJ", "COSINE", "DICE", "ECBS", "JS", "EJS", "X2")
 
@@ -66,7 +67,8 @@ def wep(edges: DataFrame) -> DataFrame:
 
 def cep(edges: DataFrame, assignments: int) -> DataFrame:
     """Cardinality edge pruning: the assignments // 2 largest weights; ties by ids."""
-    return edges.filter("weight <> 0").orderBy(F.col("weight").desc(), "id1", "id2").limit(assignments // 2)
+    order = [F.col("weight").desc(), F.col("id1"), F.col("id2")]
+    return ranked(edges.filter("weight <> 0"), order, "rank").filter(F.col("rank") < assignments // 2).drop("rank")
 
 
 def node_k(assignments: int, entities: int) -> int:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import range_midpoint
+from ..sources.scratch import written
+from .ranges import carried, ranked, running
 
 SMOOTHING, BINS = 1e-10, 20
 
@@ -59,37 +61,53 @@ def divergences(orig: DataFrame, anon: DataFrame, column: str, bins: int = BINS)
 def _quantile_steps(df: DataFrame, x: Column, side: str) -> DataFrame:
     """(value, first, last, n): the ranks of each distinct value, by a distributed prefix sum over ranges of values."""
     values = df.select(x.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    ranged = values.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranged.groupBy("part").agg(F.sum("c").alias("s"))
-    before = parts.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    out = ranged.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(before), "part")
-    return out.select("v", (F.col("before") + F.col("upto") - F.col("c")).alias(f"first_{side}"), (F.col("before") + F.col("upto") - 1).alias(f"last_{side}"))
+    out = running(values, [F.col("v")], {"upto": F.col("c")})
+    return out.select("v", (F.col("upto") - F.col("c")).alias(f"first_{side}"), (F.col("upto") - 1).alias(f"last_{side}"))
+
+
+def _quantile_line(df: DataFrame, x: Column, size: int, top: int, side: str) -> DataFrame:
+    """(i, <side>): the quantile function at ``top`` equispaced points, as the straight pieces that begin at point i; <side> is struct(at, slope).
+
+    Two pieces for each distinct value: constant over its ranks, then a line to the next value.
+    """
+    step = (size - 1) / max(top - 1, 1)
+    runs = ranked(_quantile_steps(df, x, "x"), [F.col("first_x")], "k")
+    runs = written(runs, "runs")
+    after = runs.select((F.col("k") - 1).alias("k"), F.col("v").alias("next"))
+    runs = runs.join(after, "k", "left").withColumn("next", F.coalesce("next", "v"))
+    # the first point whose rank is at least r
+    first = lambda r: F.greatest(F.ceil((r - F.lit(1e-9)) / F.lit(step)), F.lit(0)).cast("long") if step else F.when(r <= 0, F.lit(0)).otherwise(F.lit(top)).cast("long")
+    flat = F.struct(first(F.col("first_x")).alias("i"), F.lit(0).alias("o"), F.col("v").alias("at"), F.lit(0.0).alias("slope"))
+    begin = first(F.col("last_x"))
+    ramp = F.struct(begin.alias("i"), F.lit(1).alias("o"), (F.col("v") + (F.col("next") - F.col("v")) * F.greatest(begin * step - F.col("last_x"), F.lit(0.0))).alias("at"), ((F.col("next") - F.col("v")) * step).alias("slope"))
+    pieces = runs.select("k", F.explode(F.array(flat, ramp)).alias("p")).select("k", "p.*").filter(F.col("i") < top)
+    # of pieces that begin at the same point the last one holds
+    return pieces.groupBy("i").agg(F.max_by(F.struct("at", "slope"), F.struct("k", "o")).alias(side))
 
 
 def wasserstein(orig: DataFrame, anon: DataFrame, column: str) -> DataFrame:
     """One row: the mean absolute difference of the two quantile functions at max(n) equispaced points, linearly interpolated.
 
-    Null if a side has no numbers. Works on distinct values: a release has few, so runs of equal values are handled at once.
+    Null if a side has no numbers. Both functions are straight between few points: the rows are the merged pieces of both
+    sides, two at most for each distinct value, and each is summed up by a formula, however many points it spans.
     """
     a, b = numeric_form(orig, column), numeric_form(anon, column)
     if a is None or b is None:
         return orig.sparkSession.range(1).select(F.lit(None).cast("double").alias("wasserstein"))
     n = orig.select(a.alias("v")).agg(F.count("v")).first()[0], anon.select(b.alias("v")).agg(F.count("v")).first()[0]
     top = max(n)
-    grid = orig.sparkSession.range(top).select(F.col("id").alias("i"))
-
-    def at(df: DataFrame, x: Column, size: int, side: str) -> DataFrame:
-        steps = _quantile_steps(df, x, side)
-        pos = F.col("i") * F.lit((size - 1) / max(top - 1, 1))
-        rows = steps.select("v", F.explode(F.sequence(F.col(f"first_{side}"), F.col(f"last_{side}"))).alias("r"))
-        lo = F.floor(pos + 1e-9)
-        points = grid.select("i", lo.alias("r0"), F.greatest(pos - lo, F.lit(0.0)).alias("w"))
-        j = points.join(rows.select(F.col("r").alias("r0"), F.col("v").alias("v0")), "r0").withColumn("r1", F.least(F.col("r0") + 1, F.lit(size - 1)))
-        j = j.join(rows.select(F.col("r").alias("r1"), F.col("v").alias("v1")), "r1")
-        return j.select("i", (F.col("v0") + F.col("w") * (F.col("v1") - F.col("v0"))).alias(side))
-
-    return at(orig, a, n[0], "x").join(at(anon, b, n[1], "y"), "i").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("wasserstein"))
+    both = _quantile_line(orig, a, n[0], top, "x").join(_quantile_line(anon, b, n[1], top, "y"), "i", "full")
+    begin = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.col("i").alias("from"), f"{s}.at", f"{s}.slope"))
+    filled = carried(both.select("i", begin("x").alias("x"), begin("y").alias("y")), [F.col("i")], ["x", "y"])
+    at = lambda s: F.col(f"{s}.at") + F.col(f"{s}.slope") * (F.col("i") - F.col(f"{s}.from"))
+    lines = written(ranked(filled.select("i", (at("x") - at("y")).alias("d"), (F.col("x.slope") - F.col("y.slope")).alias("slope")), [F.col("i")], "k"), "lines")
+    spans = lines.join(lines.select((F.col("k") - 1).alias("k"), F.col("i").alias("end")), "k", "left").withColumn("n", F.coalesce("end", F.lit(top)) - F.col("i"))
+    total = lambda m, d: F.abs(m * d + F.col("slope") * m * (m - 1) / 2)
+    # the points before the line crosses 0, and those after
+    split = F.least(F.greatest(F.when(F.col("slope") != 0, F.floor(-F.col("d") / F.col("slope")) + 1).otherwise(0), F.lit(0)), F.col("n"))
+    spans = spans.withColumn("m", split.cast("long"))
+    area = total(F.col("m"), F.col("d")) + total(F.col("n") - F.col("m"), F.col("d") + F.col("slope") * F.col("m"))
+    return spans.agg((F.sum(area) / F.lit(float(max(top, 1)))).alias("wasserstein"))
 
 
 def mean_std_delta(orig: DataFrame, anon: DataFrame, column: str) -> DataFrame:
@@ -116,7 +134,7 @@ def encoded_for_correlation(orig: DataFrame, anon: DataFrame, columns: Sequence[
         else:
             text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan"))
             union = orig.select(text.alias("t")).union(anon.select(text.alias("t"))).distinct()
-            codes = union.select(F.col("t").alias(f"t{i}"), (F.dense_rank().over(Window.orderBy("t")) - 1).cast("double").alias(f"code{i}"))
+            codes = ranked(union, [F.col("t")], "code").select(F.col("t").alias(f"t{i}"), F.col("code").cast("double").alias(f"code{i}"))
             sides = [df.join(codes, text == F.col(f"t{i}"), "left") for df in sides]
             form = F.col(f"code{i}")
         for o in outs:

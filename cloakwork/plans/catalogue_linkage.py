@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..functions.bloom import BloomConfig
+from ..functions.bloom import BloomConfig, packed
 from ..operators.pprl import block, cluster, encode, evaluate, match, metablock
 from ..sources.scratch import written
 from . import microdata as M
@@ -122,16 +122,16 @@ def bitblocker_pairs(spark, sf_dir):
     return block.candidate_pairs(block.bit_blocks(M.encodings(spark, sf_dir), SIZE, PSI, LAMBDA, 42))
 
 
-@query()
-def lsh_pairs(spark, sf_dir):
-    return block.candidate_pairs(block.lsh_blocks(written(M.encodings(spark, sf_dir), "encodings"), SIZE, PSI, LAMBDA, 0.8))
-
-
 @query(f"{NAMED}, nn AS (SELECT bit, count(*) / (2 * (SELECT count(*) FROM part))::DOUBLE AS f FROM bits GROUP BY 1) SELECT bit::BIGINT AS bit FROM nn WHERE f >= 1 - 0.8::DOUBLE AND f <= 0.8::DOUBLE")
 def lsh_positions(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in block.lsh_positions(M.encodings(spark, sf_dir), SIZE, 0.8)], "bit long")
 
 
+@query()
+def lsh_pairs(spark, sf_dir):
+    return block.candidate_pairs(block.lsh_blocks(written(M.encodings(spark, sf_dir), "encodings"), SIZE, PSI, LAMBDA, 0.8))
+
+
 @query("""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
     d AS (SELECT q.id AS query_id, e.id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.s[i] <> e.s[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance FROM e q JOIN e ON e.id <> q.id WHERE q.id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT * FROM r WHERE rank <= 20""")
@@ -140,6 +140,22 @@ def hamming_knn(spark, sf_dir):
     return rounded(block.hamming_knn(rows.filter(F.col("id") % 20 == 0), rows, "words", 20))
 
 
+@query(f"""{NAMED}, jn AS (SELECT id, count(*) AS n FROM bits WHERE side = 1 GROUP BY 1), jq AS (SELECT id, bit, count(*) OVER (PARTITION BY id) AS n FROM bits WHERE side = 0 AND id % 20 = 0),
+    jd AS (SELECT z.id AS query_id, b.id, count(*) AS shared, any_value(z.n) AS nq FROM jq z JOIN bits b ON b.side = 1 AND b.bit = z.bit AND b.id <> z.id GROUP BY 1, 2),
+    jx AS (SELECT query_id, jd.id, shared, shared / (nq + jn.n - shared)::DOUBLE AS j FROM jd JOIN jn ON jn.id = jd.id), jr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY j DESC, id) AS rank FROM jx)
+    SELECT query_id, id, shared, round(j, 6) AS similarity, rank FROM jr WHERE rank <= 10""")
+def jaccard_knn(spark, sf_dir):
+    rows = written(M.encodings(spark, sf_dir).select("side", "id", packed(F.col("bits_text"), SIZE).alias("words")), "packed")
+    return rounded(block.jaccard_knn(rows.filter("side = 0 and id % 20 = 0"), rows.filter("side = 1"), "words", 10))
+
+
+@query()
+def multihash_knn(spark, sf_dir):
+    encoded = written(M.encodings(spark, sf_dir), "encodings")
+    queries = encoded.filter("side = 0 and id % 20 = 0").select("id", F.col("bits_text").alias("bits"))
+    return rounded(block.multihash_knn(queries, encoded.filter("side = 1").select("id", F.col("bits_text").alias("bits")), "bits", SIZE, 10))
+
+
 # --- meta-blocking -----------------------------------------------------------------------------------------------
 
 PAIRS_SQL = f"""{KEYS_SQL}, nk AS (SELECT key, count(*) FILTER (side = 0) AS n1, count(*) FILTER (side = 1) AS n2 FROM k GROUP BY 1),

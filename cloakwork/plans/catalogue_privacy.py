@@ -136,9 +136,12 @@ def _loss_sql(select: str, order: str) -> str:
     bands = f"bl AS (SELECT l0, 0.0::DOUBLE AS y0, {part(1)} AS y1, {part(2)} AS y2, 1.0::DOUBLE AS y3 FROM (SELECT DISTINCT {b[0]} AS l0, {b[1]} AS l1, {b[2]} AS l2 FROM c))"
     rows = " UNION ALL ".join(f"SELECT {p} AS lp, {q} AS lb, {M.PLACE_LEVELS[p]} AS g0, {b[q]} AS g1, segment AS s, x{p} AS x, y{q} AS y FROM c JOIN pl ON c.place = pl.leaf JOIN bl ON {b[0]} = bl.l0" for p in range(3) for q in range(4))
     return f"""WITH {M.CUSTOMERS_SQL}, {places}, {bands}, n AS ({rows}),
-    k AS (SELECT lp, lb, g0, g1, count(*) AS size, count(DISTINCT s) AS kinds, sum(x) AS x, sum(y) AS y FROM n GROUP BY 1, 2, 3, 4),
+    dd AS (SELECT (SELECT count(*) FROM pl) AS dx, (SELECT count(*) FROM bl) AS dy), n2 AS (SELECT lp, lb, g0, g1, s, count(*) AS c, sum(x) AS x, sum(y) AS y, sum((x * (dx - 1) + 1) * (y * (dy - 1) + 1)) AS amb FROM n, dd GROUP BY 1, 2, 3, 4, 5),
+    k AS (SELECT lp, lb, g0, g1, sum(c) AS size, count(s) AS kinds, max(c) AS major, sum(x) AS x, sum(y) AS y, sum(amb) AS amb FROM n2 GROUP BY 1, 2, 3, 4),
     t AS (SELECT lp, lb, sum(size) AS n, coalesce(sum(size) FILTER (NOT (size >= 5 AND kinds >= 2)), 0) AS gone, count(*) FILTER (size >= 5 AND kinds >= 2) AS n_classes,
-        sum(CASE WHEN size >= 5 AND kinds >= 2 THEN x ELSE size END) / sum(size) AS ax, sum(CASE WHEN size >= 5 AND kinds >= 2 THEN y ELSE size END) / sum(size) AS ay FROM k GROUP BY 1, 2),
+        sum(CASE WHEN size >= 5 AND kinds >= 2 THEN x ELSE size END) / sum(size) AS ax, sum(CASE WHEN size >= 5 AND kinds >= 2 THEN y ELSE size END) / sum(size) AS ay,
+        coalesce(sum(size * size) FILTER (size >= 5 AND kinds >= 2), 0)::DOUBLE AS sq, coalesce(sum(size - major) FILTER (size >= 5 AND kinds >= 2), 0)::DOUBLE AS minor, coalesce(sum(size * log2(size)) FILTER (size >= 5 AND kinds >= 2), 0) AS slog,
+        sum(CASE WHEN size >= 5 AND kinds >= 2 THEN amb ELSE size * (SELECT dx * dy FROM dd) END) / sum(size) AS amb FROM k GROUP BY 1, 2),
     z AS (SELECT *, {order} AS score FROM t WHERE gone <= 0.1 * n + 1e-9)
     SELECT {select} FROM z ORDER BY score, lp, lb LIMIT 1"""
 
@@ -188,7 +191,45 @@ def optimal_node_aecs(spark, sf_dir):
     return _best(spark, sf_dir, "aecs", "arithmetic_mean")
 
 
-@query()
+@query(_loss_sql(NODE_SELECT, "sq + gone * n::DOUBLE"))
+def optimal_node_discernibility(spark, sf_dir):
+    return _best(spark, sf_dir, "discernibility", "sum")
+
+
+@query(_loss_sql(NODE_SELECT, "(minor + gone) / n::DOUBLE"))
+def optimal_node_classification(spark, sf_dir):
+    return _best(spark, sf_dir, "classification", "sum")
+
+
+@query(_loss_sql(NODE_SELECT, "(slog + gone * log2(n)) / n::DOUBLE"))
+def optimal_node_entropy(spark, sf_dir):
+    return _best(spark, sf_dir, "entropy", "sum")
+
+
+@query(_loss_sql(NODE_SELECT, "amb"))
+def optimal_node_ambiguity(spark, sf_dir):
+    return _best(spark, sf_dir, "ambiguity", "sum")
+
+
+def _bits(levels: tuple[str, ...]) -> str:
+    """The mean of -log2(share of a row's leaf in its label), by level."""
+    parts = [f"SELECT {i} AS l, avg(-log2(a / b::DOUBLE)) AS e FROM (SELECT count(*) OVER (PARTITION BY {levels[0]}) AS a, count(*) OVER (PARTITION BY {x}) AS b FROM c)" for i, x in enumerate(levels)]
+    return " UNION ALL ".join(parts)
+
+
+@query(_loss_sql(NODE_SELECT, f"(SELECT e FROM ({_bits(M.PLACE_LEVELS)}) WHERE l = lp) + (SELECT e FROM ({_bits(M.BALANCE_LEVELS)}) WHERE l = lb)"))
+def optimal_node_nm_entropy(spark, sf_dir):
+    return _best(spark, sf_dir, "nm_entropy", "sum")
+
+
+@query(_loss_sql(NODE_SELECT, "greatest(ax, ay)").replace("ORDER BY score, lp, lb", "ORDER BY greatest(ax, ay), least(ax, ay), lp, lb"))
+def optimal_node_rank(spark, sf_dir):
+    return _best(spark, sf_dir, "loss", "rank")
+
+
+@query(_loss_sql("*", "sqrt((1 + ax) * (1 + ay)) - 1").replace("SELECT * FROM z ORDER BY score, lp, lb LIMIT 1", """best AS (SELECT lp, lb FROM z ORDER BY score, lp, lb LIMIT 1),
+    own AS (SELECT g0, g1, size, size < 5 OR kinds < 2 AS gone FROM k JOIN best USING (lp, lb))
+    SELECT CASE WHEN gone THEN '*' ELSE g0 END AS place, CASE WHEN gone THEN '*' ELSE g1 END AS balance, gone AS suppressed, CAST(sum(size) AS BIGINT) AS class_size FROM own GROUP BY 1, 2, 3""").replace("<= 0.1 * n + 1e-9)", "<= 0.1 * n + 1e-9),"))
 def optimal_release_classes(spark, sf_dir):
     """The flagship: the best k = 5, l = 2 release of customers, and its classes."""
     release, _ = A.anonymize(M.customers(spark, sf_dir).drop("region"), A.Roles(("place", "balance"), ("segment",), ("id",)), M.customer_hierarchies(spark, sf_dir), MODEL)
@@ -477,6 +518,38 @@ def membership_ks(spark, sf_dir):
     return rounded(attacks.ks_two_sample(_decided(spark, sf_dir, 0.02)))
 
 
+@query(f"WITH {MEMBER_SQL} SELECT " + ", ".join(f"round(avg({c}) FILTER (is_member = {m}), 6) AS {n}_avg_{c}" for m, n in ((1, "member"), (0, "non_member")) for c in ("candidate_count", "candidate_fraction")) + " FROM e")
+def membership_group_means(spark, sf_dir):
+    return rounded(attacks.group_means(_decided(spark, sf_dir, 0.02)))
+
+
+@query(f"""WITH {MEMBER_SQL} SELECT (SELECT count(*) FROM pub) AS n_published, (SELECT count(*) FROM rel) AS n_survivors, round(1 - (SELECT count(*) FROM rel) / (SELECT count(*) FROM pub)::DOUBLE, 6) AS drop_rate,
+    count(*) FILTER (is_member = 1) AS n_in, count(*) FILTER (is_member = 0) AS n_out FROM t""")
+def membership_release_figures(spark, sf_dir):
+    published, out = (written(x, "split") for x in sampling.split(M.customers(spark, sf_dir).drop("region"), "id", _tenth(spark, sf_dir)))
+    release = written(A.suppress(generalize(published, M.customer_hierarchies(spark, sf_dir), LEVELS), QIS, MODEL, "segment").filter(~F.col("suppressed")), "release")
+    return rounded(sampling.release_figures(published, release, sampling.membership_targets(published, out, release, "id", QIS), "id"))
+
+
+@query(f"""WITH {LINK_SQL}, q AS (SELECT count(*) AS n, CAST(sum(class_size) AS BIGINT) AS s, (SELECT count(*) FROM z) AS r FROM l)
+    SELECT n AS targets_evaluated, s AS stage1_rows_output, s AS class_rows_output, n * r * 2 AS filter_tests, 0::BIGINT AS refinement_tests, n * r * 2 + 2 * s AS estimated_total_operations FROM q""")
+def linkage_operation_counts(spark, sf_dir):
+    found = _linkage(spark, sf_dir)
+    attacks.check_linkage(found)
+    return rounded(attacks.operation_counts(found, _release(spark, sf_dir, 1, 1).filter(~F.col("suppressed")).count(), 2, 0))
+
+
+@query(f"""WITH {_release_sql(1, 1)}, x AS (SELECT c.id, c.place, c.balance, c.region, {M.BALANCE_LEVELS[1].replace('balance', 'c.balance')} AS band, r.place AS rp, r.balance AS rb FROM c JOIN r USING (id)),
+    y AS (SELECT CASE WHEN place = rp THEN 'exact' WHEN rp = '*' THEN 'suppressed' WHEN region = rp THEN 'generalized' ELSE 'none' END AS place_kind, CASE WHEN rb = '*' THEN 'suppressed' WHEN band = rb THEN 'generalized' ELSE 'none' END AS balance_kind FROM x)
+    SELECT place_kind, balance_kind, count(*) AS n, round(CASE place_kind WHEN 'exact' THEN 1 WHEN 'suppressed' THEN 0.25 WHEN 'generalized' THEN 0.5 ELSE 0 END + CASE balance_kind WHEN 'suppressed' THEN 0.25 WHEN 'generalized' THEN 0.5 ELSE 0 END, 6) AS score FROM y GROUP BY 1, 2""")
+def compatibility_kinds(spark, sf_dir):
+    known = attacks.project(M.customers(spark, sf_dir).select("id", *QIS), M.customer_hierarchies(spark, sf_dir), LEVELS)
+    j = known.join(_release(spark, sf_dir, 1, 1).select("id", *[F.col(q).alias(f"r_{q}") for q in QIS]), "id")
+    kinds = [attacks.compatibility(F.col(q), F.col(f"p_{q}"), F.col(f"r_{q}")).alias(f"k_{q}") for q in QIS]
+    per = j.select(*kinds).groupBy(F.col("k_place.kind").alias("place_kind"), F.col("k_balance.kind").alias("balance_kind"))
+    return rounded(per.agg(F.count("*").alias("n"), F.max(F.col("k_place.score") + F.col("k_balance.score")).alias("score")))
+
+
 # --- classification --------------------------------------------------------------------------------------------
 
 
@@ -517,9 +590,14 @@ def class_metrics(spark, sf_dir):
     return rounded(classify.class_metrics(_scored(spark, sf_dir), ["0", "1"]))
 
 
-@query(f"WITH {M.DOCS_SQL} SELECT round(avg(((score >= 0.5) = (quality = 1))::INT), 6) AS accuracy, 0.25::DOUBLE AS baseline_accuracy, round((round(avg(((score >= 0.5) = (quality = 1))::INT), 8) - 0.25) / 0.5, 6) AS relative_accuracy FROM d")
+@query(f"""WITH {M.DOCS_SQL}, a AS (SELECT avg(((score >= 0.5) = (quality = 1))::INT) AS acc, avg(((n_chars >= 1000) = (quality = 1))::INT) AS full_, greatest(avg(quality), 1 - avg(quality)) AS base FROM d)
+    SELECT round(acc, 6) AS accuracy, round(base, 6) AS baseline_accuracy, round((round(acc, 8) - base) / (full_ - base), 6) AS relative_accuracy FROM a""")
 def relative_accuracy(spark, sf_dir):
-    return rounded(classify.accuracy_summary(_scored(spark, sf_dir), 0.25, 0.75))
+    """Between always saying the larger class (baseline) and a rule on the original column."""
+    d = M.documents(spark, sf_dir)
+    base = classify.zero_r(d, "quality").agg(F.max("prior")).first()[0]
+    original = d.agg(F.avg(((F.col("n_chars") >= 1000) == (F.col("quality") == 1)).cast("double"))).first()[0]
+    return rounded(classify.accuracy_summary(_scored(spark, sf_dir), base, original))
 
 
 def _model_query(name, features):
@@ -569,6 +647,11 @@ def most_common_value(spark, sf_dir):
     return reporting.most_common(M.customers(spark, sf_dir), ["place"], "segment")
 
 
+@query("SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def keep_first_per_key(spark, sf_dir):
+    return reporting.keep_one(M.table(spark, sf_dir, "events"), ["event_type", "user_id"], [F.col("ts"), F.col("event_id")]).select("event_type", "user_id", "event_id")
+
+
 @query("SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def keep_last_per_key(spark, sf_dir):
     return reporting.keep_one(M.table(spark, sf_dir, "events"), ["event_type", "user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("event_type", "user_id", "event_id")
