@@ -10,8 +10,6 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?"
-
 
 def is_suppressed(c: Column) -> Column:
     """Empty or stars only, after trimming; null counts as suppressed."""
@@ -25,6 +23,7 @@ def parse_list(c: Column) -> Column:
 def range_midpoint(c: Column) -> Column:
     """A number as itself, ``lo-hi`` (hyphen or en dash, no signs) as its middle, all else null."""
     s = F.trim(c.cast("string"))
+    # a fixed value: the form of intervals that releases use
     span = r"^(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)$"
     low, high = (F.regexp_extract(s, span, i).try_cast("double") for i in (1, 2))
     plain = F.when(~F.lower(s).isin("nan", "*", "?", ""), s.try_cast("double"))
@@ -58,7 +57,8 @@ def digest8(text: str) -> str:
 
 
 def experiment_id(qis: Sequence[str], k: int, l: int, t: float | None, limit: float, measure: str, aggregate: str | None) -> str:
-    return "exp_" + digest8(f"qi={','.join(qis)};k={k};l={l};t={t};supp={limit};measure={measure};agg={aggregate}")
+    """Our own identifiers, in a payload of our own."""
+    return "run_" + digest8(f"qi={','.join(qis)};k={k};l={l};t={t};supp={limit};measure={measure};agg={aggregate}")
 
 
 def attack_id(release: str, known: Sequence[str], kind: str = "known") -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_suppressed
+from ..sources.files import suppressed_columns
 from .hierarchy import Hierarchy, with_levels
 from .ranges import running
 
@@ -40,10 +41,7 @@ def visible_levels(release: DataFrame, hierarchies: Sequence[Hierarchy], raw: Da
 def with_suppressed_columns(levels: dict[str, int], release: DataFrame, known: Sequence[str]) -> dict[str, int]:
     """``levels`` where a known attribute that the release suppresses in every row, though it seems to be in clear, is at level 1: it filters nothing."""
     own = [a for a in known if levels.get(a) == 0 and a in release.columns]
-    if not own:
-        return dict(levels)
-    gone = release.agg(*[F.coalesce(F.bool_and(is_suppressed(F.col(f"`{a}`"))), F.lit(False)).alias(f"g{i}") for i, a in enumerate(own)]).first()
-    return dict(levels) | {a: 1 for a, x in zip(own, gone, strict=True) if x}
+    return dict(levels) | dict.fromkeys(suppressed_columns(release, own), 1)
 
 
 def known_attributes(targets: DataFrame, id_col: str, known: Sequence[str] = (), member_col: str = "is_member") -> list[str]:

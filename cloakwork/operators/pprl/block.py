@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.bloom import chunk_keys, different_bits
+from ...functions.bloom import chunk_keys, different_bits, shared_bits
 from ...sources.scratch import written
 from .encode import concatenated
 

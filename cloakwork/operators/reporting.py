@@ -69,10 +69,47 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.join(F.broadcast(dof))
 
 
+def to_bool(c: Column) -> Column:
+    """true, 1 and yes, false, 0 and no, in any case; all else null."""
+    text = F.lower(F.trim(c.cast("string")))
+    return F.when(text.isin("true", "1", "1.0", "yes"), True).when(text.isin("false", "0", "0.0", "no"), False)
+
+
+def shown(x) -> str:
+    """A value as text: thousands parted by narrow blanks, a decimal comma, at most six digits after it."""
+    if x is None:
+        return ""
+    if isinstance(x, bool) or not isinstance(x, (int, float)):
+        return html.escape(str(x))
+    text = f"{x:,}" if isinstance(x, int) else f"{x:,.6f}".rstrip("0").rstrip(".")
+    return text.replace(",", "\u202f").replace(".", ",")
+
+
+def percent(x: float | None) -> str:
+    return "" if x is None else f"{shown(round(100 * float(x), 2))}\u202f%"
+
+
+def section(title: str, df: DataFrame, most: int = 1000) -> str:
+    """A heading and the first rows of a result as a table; it says if there are more."""
+    rows = df.limit(most + 1).collect()
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+    body = "".join("<tr>" + "".join(f"<td>{shown(x)}</td>" for x in r) + "</tr>" for r in rows[:most])
+    more = f"<p>The first {most} rows.</p>" if len(rows) > most else ""
+    return f"<h2>{html.escape(title)}</h2><table><tr>{head}</tr>{body}</table>{more}"
+
+
+def bars(title: str, df: DataFrame, label: str, value: str, most: int = 100) -> str:
+    """A heading and a bar for each of the first rows."""
+    rows = [(r[0], float(r[1] or 0)) for r in df.select(label, value).limit(most).collect()]
+    top = max((v for _, v in rows), default=0) or 1
+    body = "".join(f"<tr><td>{shown(k)}</td><td><div style='background:#469;height:1em;width:{20 * v / top:.2f}em'></div></td><td>{shown(v)}</td></tr>" for k, v in rows)
+    return f"<h2>{html.escape(title)}</h2><table>{body}</table>"
+
+
+def page(title: str, sections: Sequence[str]) -> str:
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{''.join(sections)}"
+
+
 def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
     """A plain page of the first rows of a small result."""
-    rows = df.limit(most).collect()
-    cell = lambda x: "" if x is None else f"{x:,.6g}".replace(",", " ") if isinstance(x, float) else html.escape(str(x))
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in rows)
-    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    return page(title, [section(title, df, most)])

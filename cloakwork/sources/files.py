@@ -89,7 +89,7 @@ def hierarchy_files(folder: str, attrs: Iterable[str]) -> dict[str, str]:
 
 
 def read_encodings(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parquet encodings of several parties under one another; ``side`` is the party's number, ids start at 0 again after the rows before."""
+    """Parquet encodings of several parties under one another; ``side`` is the party's number; ids stay as they are, unique within a party."""
     parties = [spark.read.parquet(p).withColumn("side", F.lit(i)) for i, p in enumerate(paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parties)
 
