@@ -98,12 +98,15 @@ def parse_record(raw, at: int) -> tuple[dict, int] | None:
 
 def inflate(raw, at: int) -> tuple[bytes, int, bool]:
     """What a gzip member at ``at`` holds, the byte after it, and whether it is whole; of a damaged one what comes before the damage."""
-    z, out, step = zlib.decompressobj(31), [], 1 << 15
+    z, out, step, before = zlib.decompressobj(31), [], 1 << 12, None
     while at < len(raw) and not z.eof:
-        before, part = z.copy(), raw[at : at + step]
+        part = raw[at : at + step]
+        if out:  # the state to go back to; at first a new one does
+            before = z.copy()
         try:
             out.append(z.decompress(part))
         except zlib.error:
+            before = before or zlib.decompressobj(31)
             try:
                 for i in range(0, len(part), 64):
                     out.append(before.decompress(part[i : i + 64]))
@@ -111,7 +114,7 @@ def inflate(raw, at: int) -> tuple[bytes, int, bool]:
                 pass
             return b"".join(out), at, False
         at += len(part)
-        step = min(step * 2, 1 << 22)
+        step = min(step * 4, 1 << 22)
     return b"".join(out), at - len(z.unused_data), z.eof
 
 
