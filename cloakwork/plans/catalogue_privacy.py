@@ -657,12 +657,15 @@ def keep_last_per_key(spark, sf_dir):
     return reporting.keep_one(M.table(spark, sf_dir, "events"), ["event_type", "user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("event_type", "user_id", "event_id")
 
 
-@query()
+@query("""WITH p(i, a) AS (VALUES (1, 'place'), (2, 'balance'), (3, 'day'), (4, 'priority')),
+    s AS (SELECT a AS qis FROM p UNION ALL SELECT x.a || ',' || y.a FROM p x JOIN p y ON x.i < y.i UNION ALL SELECT x.a || ',' || y.a || ',' || z.a FROM p x JOIN p y ON x.i < y.i JOIN p z ON y.i < z.i),
+    k(k) AS (VALUES (2), (5), (10)), m(measure) AS (VALUES ('loss'), ('height'), ('precision')), g(aggregate) AS (VALUES ('arithmetic_mean'), ('geometric_mean'), ('sum'), ('maximum'), ('rank'))
+    SELECT 'run_' || substr(md5('qi=' || qis || ';k=' || k || ';l=2;t=None;supp=0.1;measure=' || measure || ';agg=' || aggregate), 1, 8) AS experiment_id, qis, k::BIGINT AS k, measure, aggregate FROM s, k, m, g""")
 def grid_plan(spark, sf_dir):
     from .campaign import grid
 
     plan = grid(("place", "balance", "day", "priority"), (1, 2, 3), ks=(2, 5, 10), measures=("loss", "height", "precision"), aggregates=A.AGGREGATES)
-    return spark.createDataFrame([(e.id, ",".join(e.qis), e.model.k, e.measure, e.aggregate) for e in plan], "experiment_id string, qis string, k int, measure string, aggregate string")
+    return spark.createDataFrame([(e.id, ",".join(e.qis), e.model.k, e.measure, e.aggregate) for e in plan], "experiment_id string, qis string, k long, measure string, aggregate string")
 
 
 @query()
