@@ -8,7 +8,9 @@ byte string only: no hash takes part, so no collision can join two texts. (SHA-2
 apart the texts of rows that repeat an id.)
 
 Null text counts as empty; the empty text is one empty block. Rows whose id is null are
-returned as kept, with keep_id null and group_size 1. Rows that repeat an id count as rows.
+returned as kept, with keep_id null and group_size 1. Rows that repeat an id count as rows. Texts of
+any length are taken whole; ties cannot occur (the largest id stays, and rows of one id and text are alike). Columns other than
+the id and the text are not read, so their names can clash with nothing. An empty table gives an empty one.
 """
 
 from __future__ import annotations

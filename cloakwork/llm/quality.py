@@ -13,6 +13,7 @@ task sorts all rows; of equal values the smaller ids stay.
 
 Texts that are null or empty have weight 0 (as likely under both models). Without labelled rows
 there is no target: the weights are 0 and all documents stay. Rows that repeat are drawn as one if id and text are equal.
+Texts of any length are counted whole. Columns of the documents other than the id and the text are not read, so their names can clash with nothing.
 """
 
 from __future__ import annotations
