@@ -266,17 +266,32 @@ def isolated_edges(spark, sf_dir):
     return cluster.isolated_edges(_edges(spark, sf_dir, 0.95))
 
 
-@query()
+# rounds: pairs that are the best left for both ends are taken, and all other pairs of those ends go
+UNIQUE_SQL = f"""{EDGES_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, um AS (SELECT id1, id2, weight, false AS taken FROM w WHERE weight > 0.1 UNION ALL
+    SELECT id1, id2, weight, taken FROM (SELECT *, bool_or(taken) OVER (PARTITION BY id1) OR bool_or(taken) OVER (PARTITION BY id2) AS met FROM
+        (SELECT id1, id2, weight, row_number() OVER (PARTITION BY id1 ORDER BY weight DESC, id2) = 1 AND row_number() OVER (PARTITION BY id2 ORDER BY weight DESC, id1) = 1 AS taken FROM um WHERE NOT taken)) WHERE taken OR NOT met)
+    SELECT id1, id2, weight FROM um WHERE taken"""
+
+
+@query(UNIQUE_SQL)
 def unique_mapping(spark, sf_dir):
     return cluster.unique_mapping(_edges(spark, sf_dir))
 
 
-@query()
+@query(UNIQUE_SQL)
 def stable_matching(spark, sf_dir):
     return cluster.stable_matching(_edges(spark, sf_dir))
 
 
-@query()
+# one pair a step, by falling weight; ce and me are the centers and members so far
+@query(f"""{EDGES_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS MATERIALIZED (SELECT id1, id2, weight, id1 * 2 AS a, id2 * 2 + 1 AS b, row_number() OVER (ORDER BY weight DESC, id1, id2) AS pos,
+        avg(weight) OVER (PARTITION BY id1) < avg(weight) OVER (PARTITION BY id2) AS one FROM w WHERE weight > 0.8),
+    st AS (SELECT 0::BIGINT AS pos, false AS kept, []::BIGINT[] AS ce, []::BIGINT[] AS me UNION ALL
+        SELECT pos, (fa AND fb) OR (fa AND cb) OR (fb AND ca), CASE WHEN fa AND fb THEN list_append(ce, CASE WHEN one THEN a ELSE b END) ELSE ce END,
+            CASE WHEN fa AND fb THEN list_append(me, CASE WHEN one THEN b ELSE a END) WHEN fa AND cb THEN list_append(me, a) WHEN fb AND ca THEN list_append(me, b) ELSE me END
+        FROM (SELECT o.pos, a, b, one, ce, me, list_contains(ce, a) AS ca, list_contains(ce, b) AS cb, NOT list_contains(ce, a) AND NOT list_contains(me, a) AS fa, NOT list_contains(ce, b) AND NOT list_contains(me, b) AS fb FROM st JOIN o ON o.pos = st.pos + 1)),
+    ck AS (SELECT id1, id2, weight, count(*) OVER (PARTITION BY id1) AS n1, count(*) OVER (PARTITION BY id2) AS n2 FROM st JOIN o USING (pos) WHERE kept)
+    SELECT id1, id2, weight FROM ck WHERE n1 = 1 AND n2 = 1""")
 def center_clusters(spark, sf_dir):
     return cluster.center_clusters(_edges(spark, sf_dir), 0.8)
 
