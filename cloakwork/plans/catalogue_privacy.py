@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -322,7 +323,16 @@ def correlation_delta(spark, sf_dir):
     return rounded(utility.correlation_delta(*_pair(spark, sf_dir), ["balance", "place", "segment"]))
 
 
-@query()
+def _exact(name: str) -> str:
+    """The SQL of a registered query without its last rounding."""
+    head, tail = SQL[name].rsplit("SELECT round(", 1)
+    return head + "SELECT " + re.sub(r"round\((.*?), 6\) AS", r"\1 AS", f"round({tail}", flags=re.DOTALL)
+
+
+@query(f"""WITH {PAIR_SQL}, d AS (SELECT 'balance' AS k, * FROM ({_exact("divergence_numeric")}) UNION ALL SELECT 'place', * FROM ({_exact("divergence_categorical")})
+    UNION ALL SELECT 'segment', * FROM ({_exact("divergence_categorical").replace("place AS v", "segment AS v")})), w AS ({_exact("wasserstein")})
+    SELECT (SELECT count(*) FROM a) AS n_original, (SELECT count(*) FROM z) AS n_anonymized, round(1 - (SELECT count(*) FROM z) / (SELECT count(*) FROM a)::DOUBLE, 6) AS suppression_rate, round(avg(tvd) FILTER (k <> 'segment'), 6) AS mean_tvd_qi, round(avg(tvd) FILTER (k = 'segment'), 6) AS mean_tvd_sensitive,
+        round(avg(tvd), 6) AS mean_tvd_all, round(avg(kl_divergence) FILTER (k <> 'segment'), 6) AS mean_kl_qi, (SELECT round(wasserstein, 6) FROM w) AS mean_wasserstein_qi, (SELECT round(wasserstein, 6) FROM w) AS mean_wasserstein_all FROM d""")
 def utility_summary(spark, sf_dir):
     return rounded(utility.summary(*_pair(spark, sf_dir), QIS, ["segment"]))
 
@@ -353,20 +363,37 @@ def jaccard_schema_scores(spark, sf_dir):
     return rounded(SM.jaccard_scores(unknown, known, list(t), list(t.values())))
 
 
-@query("SELECT 3::BIGINT AS n_columns, 3::BIGINT AS n_mapped, 3::BIGINT AS n_correct, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS accuracy_on_mapped, 1.0::DOUBLE AS recall")
+@query(f"""WITH js AS ({SQL["jaccard_schema_scores"]}), jm AS (SELECT "unknown", known, row_number() OVER (PARTITION BY "unknown" ORDER BY score DESC, list_position(['place', 'region', 'segment'], known)) AS k FROM js WHERE score >= 0),
+    jt AS (SELECT t.*, jm.known AS mapped FROM (VALUES ('col_0', 'place'), ('col_1', 'region'), ('col_2', 'segment')) t("unknown", truth) LEFT JOIN jm ON jm."unknown" = t."unknown" AND k = 1),
+    jc AS (SELECT count(*) AS n_columns, count(mapped) AS n_mapped, count(*) FILTER (mapped = truth) AS n_correct FROM jt)
+    SELECT *, n_mapped / n_columns::DOUBLE AS coverage, n_correct / n_mapped::DOUBLE AS accuracy_on_mapped, n_correct / n_columns::DOUBLE AS recall FROM jc""")
 def schema_mapping_evaluation(spark, sf_dir):
     unknown, known, t = _renamed(spark, sf_dir)
     found = SM.recover(unknown, known, list(t), list(t.values()))
     return rounded(SM.evaluate_mapping(found, spark.createDataFrame(list(t.items()), "unknown string, known string")))
 
 
-@query()
+CELLS_SQL = """WITH RECURSIVE c AS (SELECT n_name AS place, r_name AS region, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    cells AS MATERIALIZED (SELECT 0 AS i, 'place' AS k, place AS v, count(*) AS n FROM c GROUP BY place UNION ALL SELECT 1, 'region', region, count(*) FROM c GROUP BY region UNION ALL SELECT 2, 'segment', segment, count(*) FROM c GROUP BY segment)"""
+#: From scores sc: pairs that are the best left for both columns are taken, and all other pairs of those columns go.
+CHOICE_SQL = """, ch AS (SELECT "unknown", known, score, false AS taken FROM sc UNION ALL
+    SELECT "unknown", known, score, taken FROM (SELECT *, bool_or(taken) OVER (PARTITION BY "unknown") OR bool_or(taken) OVER (PARTITION BY known) AS met FROM
+        (SELECT "unknown", known, score, row_number() OVER (PARTITION BY "unknown" ORDER BY score DESC, known) = 1 AND row_number() OVER (PARTITION BY known ORDER BY score DESC, "unknown") = 1 AS taken FROM ch WHERE NOT taken)) WHERE taken OR NOT met)
+    SELECT "unknown", known, round(score, 6) AS score FROM ch WHERE taken"""
+
+
+@query(f"""{CELLS_SQL}, tf AS (SELECT i, k, term, sum(n) AS tf FROM (SELECT DISTINCT i, k, v, n, unnest(regexp_split_to_array(lower(v), '[\\W_]+')) AS term FROM cells) WHERE term <> '' GROUP BY 1, 2, 3),
+    tw AS (SELECT i, k, term, ln(1 + tf) * (ln(6.0::DOUBLE / (2 * count(*) OVER (PARTITION BY term))) + 1) AS w FROM tf), tn AS (SELECT i, k, term, w / sqrt(sum(w * w) OVER (PARTITION BY i)) AS w FROM tw),
+    sc AS (SELECT 'col_' || x.i AS "unknown", y.k AS known, sum(x.w * y.w) AS score FROM tn x JOIN tn y USING (term) GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.1){CHOICE_SQL}""")
 def instance_schema_match(spark, sf_dir):
     unknown, known, t = _renamed(spark, sf_dir)
     return rounded(SM.recover(unknown, known, list(t), list(t.values()), "instances", 0.1))
 
 
-@query()
+@query(f"""{CELLS_SQL}, nc AS (SELECT i, k, count(*) AS n FROM cells GROUP BY 1, 2),
+    hit AS (SELECT x.i, y.k, count(DISTINCT x.v) AS n FROM cells x JOIN cells y ON 5 * levenshtein(x.v, y.v) <= greatest(length(x.v), length(y.v)) GROUP BY 1, 2),
+    sc AS (SELECT 'col_' || x.i AS "unknown", y.k AS known, least(1, h.n / greatest(x.n + y.n - h.n, 1)::DOUBLE) AS score FROM nc x JOIN hit h ON h.i = x.i JOIN nc y ON y.k = h.k
+        WHERE least(1, h.n / greatest(x.n + y.n - h.n, 1)::DOUBLE) >= 0.8){CHOICE_SQL}""")
 def fuzzy_schema_match(spark, sf_dir):
     unknown, known, t = _renamed(spark, sf_dir)
     return rounded(SM.recover(unknown, known, list(t), list(t.values()), "jaccard", 0.8))

@@ -6,6 +6,7 @@ DATA = "/root/testdata/sf0.001"
 NAMES = [
     "k_anonymity_classes", "t_closeness_classes", "generalize_release", "lattice_scan", "optimal_node_loss", "class_statistics", "attribute_quality", "divergence_numeric", "wasserstein", "correlation_delta",
     "linkage_summary", "linkage_stage2", "membership_metrics", "naive_bayes_counts", "roc_points", "bloom_skipgrams", "weight_x2", "prune_wnp", "cosine_pairs", "connected_components", "cluster_evaluation", "hamming_knn", "stream_window_group_sizes",
+    "utility_summary", "schema_mapping_evaluation", "instance_schema_match", "fuzzy_schema_match", "unique_mapping", "center_clusters",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
