@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cloakwork.operators import anonymize as A
 from cloakwork.operators import attacks, classify, quality, reporting, sampling, schema_match, utility
 from cloakwork.operators.hierarchy import Hierarchy, band, by_expression, generalize
-from cloakwork.operators.pprl import block, cluster, evaluate, metablock
+from cloakwork.functions.bloom import BloomConfig
+from cloakwork.operators.pprl import block, cluster, encode, evaluate, metablock
 
 
 @pytest.fixture(scope="module")
@@ -313,3 +314,75 @@ def test_best_node_is_best_with_closeness(spark):
     assert lost[at][0] == pytest.approx(12 / 92) and lost[at][1] == pytest.approx(1)
     best = A.best_node(freq, model, aggregate_by="arithmetic_mean")
     assert best["score"] == pytest.approx(min(A.aggregate("arithmetic_mean", lost[i]) for i in lost if found[i] <= 0.2 * 92))
+
+
+def classes_of_records(rng, n=16, kinds=5):
+    """(pairs of classes, members, weights of all pairs of their records)."""
+    sides = []
+    for _ in range(2):
+        kind = [rng.randrange(kinds) for _ in range(n)]
+        own = [[i for i in range(n) if kind[i] == k] for k in range(kinds)]
+        sides.append({v[0]: v for v in own if v})
+    edges = [(a, b, rng.randint(1, 5) / 5, len(sides[0][a]), len(sides[1][b])) for a, b in itertools.product(*sides) if rng.random() < 0.7]
+    members = [(s, i, c, len(v)) for s in (0, 1) for c, v in sides[s].items() for i in v]
+    return edges, members, [(i, j, w) for a, b, w, _, _ in edges for i in sides[0][a] for j in sides[1][b]]
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def copies(spark, request):
+    edges, members, records = classes_of_records(random.Random(request.param))
+    return spark.createDataFrame(edges, "id1 long, id2 long, weight double, m1 long, m2 long"), spark.createDataFrame(members, "side int, id long, class long, n long"), records
+
+
+def pairs_of(df):
+    return sorted((r["id1"], r["id2"], r["weight"]) for r in df.collect())
+
+
+def test_classes_expand_to_all_pairs(copies):
+    assert pairs_of(encode.expanded(copies[0].select("id1", "id2", "weight"), copies[1], most=2)) == sorted(copies[2])
+
+
+def test_unique_mapping_of_classes_is_greedy(copies):
+    assert {(r["id1"], r["id2"]) for r in cluster.unique_mapping_classes(*copies[:2]).collect()} == greedy([e for e in copies[2] if e[2] > 0.1])
+
+
+def test_centers_of_classes_equal_one_pass(copies):
+    kept = {(r["id1"], r["id2"]) for r in cluster.center_edges_classes(*copies[:2], 0.3).collect()}
+    assert kept == centers_one_by_one(copies[2], 0.3)
+
+
+def test_pruning_of_classes_equals_that_of_records(spark, copies):
+    records = spark.createDataFrame(copies[2], "id1 long, id2 long, weight double")
+    for most in (1, 7, 40, 10_000):
+        assert pairs_of(metablock.cep_classes(copies[0], most, copies[1])) == pairs_of(metablock.cep(records, most))
+    for k, both in itertools.product((1, 4), (False, True)):
+        assert pairs_of(metablock.cnp_classes(copies[0], k, copies[1], both)) == pairs_of(metablock.cnp(records, k, both))
+    assert pairs_of(encode.expanded(metablock.blast(copies[0]), copies[1])) == pairs_of(metablock.blast(records))
+
+
+def test_recall_of_classes_equals_that_of_records(spark, copies):
+    records = spark.createDataFrame(copies[2], "id1 long, id2 long, weight double")
+    truth = spark.createDataFrame([(i, (i * 7) % 16) for i in range(16)] + [(1, 1), (2, 2)], "id1 long, id2 long")
+    curve = lambda df: sorted((r["pos"], r["hit"], r["recall"]) for r in df.collect())
+    assert curve(evaluate.recall_curve_classes(copies[0], copies[1], truth, 3)) == curve(evaluate.recall_curve(records, truth))
+    assert list(evaluate.normalized_auc(copies[0], truth, copies[1]).first()) == pytest.approx(list(evaluate.normalized_auc(records, truth).first()))
+    assert evaluate.pair_scores(copies[0], truth, 16, 16, copies[1]).first() == evaluate.pair_scores(records, truth, 16, 16).first()
+    assert pairs_of(cluster.isolated_edges(copies[0]).select("id1", "id2", "weight")) == pairs_of(cluster.isolated_edges(records))
+
+
+def test_classes_of_equal_bits(spark):
+    rows = spark.createDataFrame([(0, 1, "ab"), (0, 2, "AB"), (0, 3, None), (1, 4, "ab"), (1, 5, "b")], "side int, id long, text string")
+    found, members = encode.classes(rows, "text", BloomConfig(64, 2, q=2))
+    assert sorted((r["side"], r["id"], r["n"]) for r in found.collect()) == [(0, 1, 2), (0, 3, 1), (1, 4, 1), (1, 5, 1)]
+    assert sorted((r["side"], r["id"], r["class"]) for r in members.collect()) == [(0, 1, 1), (0, 2, 1), (0, 3, 3), (1, 4, 4), (1, 5, 5)]
+
+
+def test_neighbours_of_classes(spark):
+    rng = random.Random(3)
+    words = [rng.choice([3, 5, 9, 14]) for _ in range(24)]
+    first = {w: i for i, w in reversed(list(enumerate(words)))}
+    records = spark.createDataFrame([(i, [w]) for i, w in enumerate(words)], "id long, words array<long>")
+    members = spark.createDataFrame([(i, first[w]) for i, w in enumerate(words)], "id long, class long")
+    own = spark.createDataFrame([(i, [w]) for w, i in first.items()], "id long, words array<long>")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "shared", "similarity", "rank").collect()))
+    assert rows(block.jaccard_knn(own, own, "words", 4, members=(members, members))) == rows(block.jaccard_knn(records, records, "words", 4))
