@@ -386,3 +386,11 @@ def test_neighbours_of_classes(spark):
     own = spark.createDataFrame([(i, [w]) for w, i in first.items()], "id long, words array<long>")
     rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "shared", "similarity", "rank").collect()))
     assert rows(block.jaccard_knn(own, own, "words", 4, members=(members, members))) == rows(block.jaccard_knn(records, records, "words", 4))
+
+
+def test_common_words_summed_at_once(spark):
+    from cloakwork.functions.bloom import packed, shared_bits
+
+    df = spark.createDataFrame([([0, 63, 64, 99], [0, 64, 98]), ([], [5]), ([63], [63])], "a array<int>, b array<int>")
+    a, b = packed(F.col("a"), 100), packed(F.col("b"), 100)
+    assert [tuple(r) for r in df.select(shared_bits(a, b), shared_bits(a, b, 100)).collect()] == [(2, 2), (0, 0), (1, 1)]
