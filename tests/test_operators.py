@@ -388,6 +388,31 @@ def test_neighbours_of_classes(spark):
     assert rows(block.jaccard_knn(own, own, "words", 4, members=(members, members))) == rows(block.jaccard_knn(records, records, "words", 4))
 
 
+def test_multihash_neighbours_equal_brute_force(spark):
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(70), rng.randint(0, 12))) for _ in range(40)]
+    sets += sets[:8]
+    drawn = block.draw(range(70), 3, 4, 42)
+    alike = lambda a, b: any(all((p in a) == (p in b) for p in ps) for ps in drawn)
+    want = []
+    for q, a in enumerate(sets[:20]):
+        near = [(i, len({*a} & {*b}), len({*a} | {*b})) for i, b in enumerate(sets) if i != q and alike(a, b)]
+        best = sorted((-(s / u if u else 0.0), i, s) for i, s, u in near)[:5]
+        want += [(q, i, s, -j, k + 1) for k, (j, i, s) in enumerate(best)]
+    rows = lambda ids: spark.createDataFrame([(i, sets[i]) for i in ids], "id long, bits array<int>")
+    got = lambda df: sorted(map(tuple, df.select("query_id", "id", "shared", "similarity", "rank").collect()))
+    assert got(block.multihash_knn(rows(range(20)), rows(range(48)), "bits", 70, 5, tables=4, width=3, broadcast_rows=7)) == sorted(want)
+    first = {tuple(b): i for i, b in reversed(list(enumerate(sets)))}
+    members = lambda n: spark.createDataFrame([(i, first[tuple(b)]) for i, b in enumerate(sets[:n])], "id long, class long")
+    own = rows(sorted(first.values()))
+    asked = rows(sorted({first[tuple(b)] for b in sets[:20]}))
+    found = block.multihash_knn(asked, own, "bits", 70, 5, tables=4, width=3, members=(members(20), members(48)))
+    assert got(found) == sorted(want)
+    # pairs are scored where they meet, so no lists of bits are dealt out with them
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "array_union" not in plan
+
+
 def test_common_words_summed_at_once(spark):
     from cloakwork.functions.bloom import packed, shared_bits
 
