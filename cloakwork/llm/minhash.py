@@ -21,7 +21,9 @@ component meets all nodes of other components. Lists with few such pairs (up to
 from the sketches. For nodes in lists with more of them (many texts around one passage, or the stragglers of a large
 group) the whole sets are listed, with exact bounds: a linked pair of sizes m and n shares at
 least s / (1 + s) * (m + n) shingles, so a value is listed only for partner sizes with which the values from it on can be
-enough. A straggler of a group differs from all others by rare shingles, which use up that prefix, so it is in no long list.
+enough. A straggler of a group differs from all others by rare shingles, which use up that prefix, so it is in few long lists. Entries of these
+carry the parities of their whole sets: sets that differ in more of them than links may differ in values are no pair, so the join
+itself leaves out nearly all pairs of stragglers of texts up to some 3,000 shingles, and never a link.
 So a group of n near copies costs about n pairs, and no link that would change a component is left out but by the
 estimates (``SPREAD`` standard deviations). Long lists are dealt over several tasks.
 
@@ -62,6 +64,8 @@ SIMILARITY = 80
 CROSS = 16
 #: Step between size classes of whole sets.
 CLASS_STEP = 1.03
+#: Words of 64 bits with the parities of a whole set.
+PARITY = 32
 #: Entries of a list, or partners of a text, that one task takes.
 PART = 4096
 #: Bits of the map of wanted ids.
@@ -312,8 +316,13 @@ def _class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(CLASS_STEP)).cast("int")
 
 
-def whole_lists(ids: DataFrame, corpus: _Corpus) -> DataFrame:
-    """(id, n, at, value, class, before, home): the lists of the whole shingle sets of these nodes, by size class of the partner.
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``PARITY`` classes of hashes whether the set has an odd number of them, as bits of int64."""
+    return np.packbits(np.bincount(shingles % (64 * PARITY), minlength=64 * PARITY).astype(np.uint8) & 1).view(np.int64)
+
+
+def whole_lists(ids: DataFrame, corpus: _Corpus) -> tuple[DataFrame, DataFrame]:
+    """(id, n, at, value, class, before, home): the lists of the whole shingle sets of these nodes, by size class of the partner. And (id, parity).
 
     An entry at a place from which r values are left is listed for partners of sizes from s * n to
     r * (1 + s) / s - n, and not above n: of a pair the larger set looks for the smaller one, which is at home in its own class.
@@ -326,10 +335,12 @@ def whole_lists(ids: DataFrame, corpus: _Corpus) -> DataFrame:
             sets = [shingle_set(h, words) for h in hasher.texts(utf8(batch.column(1)))]
             offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["id", "n", "shingles"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate([parity(x) for x in sets]) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())), bits], names=["id", "n", "shingles", "parity"])
 
     texts = texts_of(ids, corpus.reps, corpus.texts, "op3-many")
-    entries = written(texts.mapInArrow(run, "id long, n long, shingles array<long>").select("id", "n", F.explode("shingles").alias("value")), "op3-whole")
+    made = written(texts.mapInArrow(run, "id long, n long, shingles array<long>, parity array<long>"), "op3-whole")
+    entries = made.select("id", "n", F.explode("shingles").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     per = entries.join(shared, "value").groupBy("id", "n").agg(F.collect_list(F.struct("df", "value")).alias("common"))
     # single values come first: they use up places, but are in no list
@@ -344,20 +355,26 @@ def whole_lists(ids: DataFrame, corpus: _Corpus) -> DataFrame:
     classes = each.withColumn("most", most).filter(F.col("most") >= least).withColumn("class", F.explode(F.sequence(_class(least), _class(F.col("most")))))
     home = (F.col("class") == _class(F.col("n"))) & (F.col("most") >= F.col("n"))
     out = written(classes.withColumn("home", home).drop("most"), "op3-whole-lists")
-    dropped(entries, texts)
-    return out
+    parities = written(made.select("id", "parity"), "op3-parity")
+    dropped(made, texts)
+    return out, parities
 
 
 def across_whole(own: DataFrame, corpus: _Corpus) -> DataFrame:
-    """All pairs (a, b) of different components that can be links by their sizes and the places of a shared value."""
+    """All pairs (a, b) of different components that can be links by their sizes, the places of a shared value and their parities.
+
+    Sets of sizes m and n are linked if they differ in (1 - s) / (1 + s) * (m + n) values at most, and each parity that differs takes one of these.
+    """
     s = corpus.similarity
     least = (F.col("n") + F.col("n2")) * s / F.lit(100.0 + s) - 1e-9
     left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
-    fits = sized(F.col("n"), F.col("n2"), s) & (left >= least)
+    apart = F.aggregate(F.zip_with("parity", "parity2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = apart <= (F.col("n") + F.col("n2")) * (100 - s) / F.lit(100.0 + s) + 1e-9
     looks = lambda x, y: (F.col(f"n{x}") > F.col(f"n{y}")) | ((F.col(f"n{x}") == F.col(f"n{y}")) & (F.col(f"id{x}") > F.col(f"id{y}")))
     keys = ["value", "class"]
-    found = _meeting(own.filter("minor"), own.filter("home"), keys, fits & looks("", "2"))
-    found = found.unionByName(_meeting(own.filter("home and minor"), own.filter("not minor"), keys, fits & looks("2", "")))
+    fits = lambda x, y: sized(F.col("n"), F.col("n2"), s) & (left >= least) & looks(x, y) & near
+    found = _meeting(own.filter("minor"), own.filter("home"), keys, fits("", "2"))
+    found = found.unionByName(_meeting(own.filter("home and minor"), own.filter("not minor"), keys, fits("2", "")))
     return found.distinct()
 
 
@@ -390,10 +407,11 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         dropped(sides)
         ids = written(own.filter("many").select("id").distinct(), "op3-many")
         if not ids.isEmpty():
-            more = whole_lists(ids, corpus)
+            more, parities = whole_lists(ids, corpus)
             crossing = placed(more, parts, ["value", "class"])
-            links.append(corpus.linked(across_whole(crossing, corpus), estimate=False))
-            dropped(more, crossing)
+            sides = written(crossing.join(parities, "id"), "op3-sides")
+            links.append(corpus.linked(across_whole(sides, corpus), estimate=False))
+            dropped(more, parities, crossing, sides)
         dropped(parts, ids)
         parts = _parts(links)
     dropped(own, lists)

@@ -6,7 +6,7 @@ from brute import embedding_links, near_duplicates
 from pyspark.sql import functions as F
 
 from cloakwork.llm import minhash
-from cloakwork.llm.common import WordHasher, components
+from cloakwork.llm.common import WordHasher, components, written
 from cloakwork.llm.exact_dedup import exact_dedup
 from cloakwork.llm.forest import forest_dedup
 
@@ -83,6 +83,35 @@ def test_near_duplicates_when_all_lists_are_crowded(spark, monkeypatch):
     assert got == near_duplicates(rows, 2)
 
 
+def test_stragglers_of_a_group_are_hardly_compared(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        own = list(base)
+        # three words replaced: too far from each other, near enough to be listed under the same values
+        for at in rng.sample(range(10, 150), 3) if i % 4 else [0]:
+            own[at] = f"u{rng.randrange(4)}"
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in rows], DOCS)
+    met, plain = [], minhash.across_whole
+    monkeypatch.setattr(minhash, "across_whole", lambda *a: met.append(written(plain(*a), "met")) or met[-1])
+    monkeypatch.setattr(minhash, "CROSS", 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.minhash_dedup(df, words=5).collect()}
+    assert got == near_duplicates(rows, 5)
+    assert met and met[0].count() < 4 * len(rows)
+
+
+def test_parities_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 3, 200, 20_000):
+        a = rng.integers(0, 1 << 62, n)
+        b = np.concatenate((a[: n - n // 5], rng.integers(0, 1 << 62, n // 7)))
+        differ = np.bitwise_count(minhash.parity(a) ^ minhash.parity(b)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and (n != 200 or differ > 50)
+
+
 def test_bounds_follow_the_similarity(spark):
     rows = spark.createDataFrame([(1000, 1000, c, 80) for c in (47, 48, 58)], "na long, nb long, common int, m int")
     one = lambda s: rows.select("common", minhash.enough_shared(F.col("na"), F.col("nb"), F.col("common"), s, 80).alias("ok"), minhash._shared_needed(F.col("m"), s, 80).alias("m")).collect()
