@@ -9,6 +9,7 @@ from cloakwork.operators import attacks, classify, quality, reporting, sampling,
 from cloakwork.operators.hierarchy import Hierarchy, band, by_expression, generalize
 from cloakwork.functions.bloom import BloomConfig
 from cloakwork.operators.pprl import block, cluster, encode, evaluate, metablock
+from cloakwork.sources import scratch
 
 
 @pytest.fixture(scope="module")
@@ -346,6 +347,22 @@ def test_unique_mapping_of_classes_is_greedy(copies):
     assert {(r["id1"], r["id2"]) for r in cluster.unique_mapping_classes(*copies[:2]).collect()} == greedy([e for e in copies[2] if e[2] > 0.1])
 
 
+def test_rest_of_unique_mapping_in_one_pass(spark, copies, monkeypatch):
+    pairs = lambda **k: {(r["id1"], r["id2"]) for r in cluster.unique_mapping_classes(*copies[:2], **k).collect()}
+    want = greedy([e for e in copies[2] if e[2] > 0.1])
+    # rounds to the end; a round first, as records or pairs are too many for one pass; all in one pass
+    assert pairs(one_pass=(0, 0)) == pairs(one_pass=(20, 26)) == pairs(one_pass=(12, 99)) == want
+    # many copies with ties across classes: one pass and no round
+    n, rows = 40, []
+    monkeypatch.setattr(cluster, "written", lambda df, name: rows.append(name) or real(df, name))
+    real = scratch.written
+    edges = [(a, b, 0.5, n, n) for a, b in ((0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 0))] + [(3, 0, 0.4, n, n), (2, 3, 0.3, n, n), (4, 3, 0.3, n, n)]
+    members = [(s, c + 5 * i, c, n) for s in (0, 1) for c in range(5 - s) for i in range(n)]
+    all_pairs = [(a + 5 * i, b + 5 * j, w) for a, b, w, _, _ in edges for i in range(n) for j in range(n)]
+    found = cluster.unique_mapping_classes(spark.createDataFrame(edges, "id1 long, id2 long, weight double, m1 long, m2 long"), spark.createDataFrame(members, "side int, id long, class long, n long"))
+    assert {(r["id1"], r["id2"]) for r in found.collect()} == greedy(all_pairs) and len(rows) <= 3
+
+
 def test_centers_of_classes_equal_one_pass(copies):
     kept = {(r["id1"], r["id2"]) for r in cluster.center_edges_classes(*copies[:2], 0.3).collect()}
     assert kept == centers_one_by_one(copies[2], 0.3)
