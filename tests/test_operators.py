@@ -387,6 +387,31 @@ def test_recall_of_classes_equals_that_of_records(spark, copies):
     assert pairs_of(cluster.isolated_edges(copies[0]).select("id1", "id2", "weight")) == pairs_of(cluster.isolated_edges(records))
 
 
+def test_recalls_are_rounded_once_a_run(spark, copies):
+    truth = spark.createDataFrame([(i, (i * 7) % 16) for i in range(16)], "id1 long, id2 long")
+    rows = lambda df: sorted((r["pos"], r["hit"], r["recall"]) for r in df.collect())
+    found = evaluate.recall_curve_classes(copies[0], copies[1], truth, 3, digits=3)
+    assert rows(found) == rows(evaluate.recall_curve(spark.createDataFrame(copies[2], "id1 long, id2 long, weight double"), truth).withColumn("recall", F.round("recall", 3)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # nothing but the hit is worked out for each position
+    assert "round(" not in plan[: plan.index("Generate explode")] and "round(" in plan
+
+
+def test_weights_without_a_true_pair_are_one_row(spark, monkeypatch):
+    n, rows = 30, []
+    real = evaluate.running
+    monkeypatch.setattr(evaluate, "running", lambda df, *a: rows.append(df.count()) or real(df, *a))
+    edges = [(0, 0, 0.9, n, n), (0, 1, 0.8, n, n), (1, 0, 0.7, n, n), (1, 1, 0.8, n, n)]
+    members = [(s, 2 * i + c, c, n) for s in (0, 1) for c in (0, 1) for i in range(n)]
+    edges, members = spark.createDataFrame(edges, "id1 long, id2 long, weight double, m1 long, m2 long"), spark.createDataFrame(members, "side int, id long, class long, n long")
+    truth = spark.createDataFrame([(2, 2), (4, 6)], "id1 long, id2 long")
+    records = encode.expanded(edges.select("id1", "id2", "weight"), members)
+    want = [r["pos"] for r in evaluate.recall_curve(records, truth).orderBy("pos").collect() if r["hit"]]
+    assert sorted(r["pos"] for r in evaluate.hit_positions(edges, members, truth).collect()) == want
+    # 30 records at 0.9, one row each for 0.8 and 0.7
+    assert rows == [n + 2]
+
+
 def test_classes_of_equal_bits(spark):
     rows = spark.createDataFrame([(0, 1, "ab"), (0, 2, "AB"), (0, 3, None), (1, 4, "ab"), (1, 5, "b")], "side int, id long, text string")
     found, members = encode.classes(rows, "text", BloomConfig(64, 2, q=2))
