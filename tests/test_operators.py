@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import pytest
@@ -339,6 +340,37 @@ def pairs_of(df):
     return sorted((r["id1"], r["id2"], r["weight"]) for r in df.collect())
 
 
+def test_classes_with_members_say_all_pairs(copies):
+    found = encode.with_members(copies[0], copies[1]).collect()
+    of = {k: [(r["id1"], r["id2"]) for r in found if r["kind"] == k] for k in ("pair", "first", "second")}
+    assert sorted(of["pair"]) == sorted((r["id1"], r["id2"]) for r in copies[0].collect()) and len(found) == copies[0].count() + copies[1].count()
+    records = [(i, j) for a, b in of["pair"] for i, c in of["first"] if c == a for j, d in of["second"] if d == b]
+    assert sorted(records) == sorted((a, b) for a, b, _ in copies[2])
+
+
+def test_lsh_counts_the_records_of_classes(spark):
+    # bit 1 is in one of two classes, but in 9 of 10 records
+    classes = spark.createDataFrame([(0, 0, 9, [0, 1]), (1, 1, 1, [0, 2])], "side int, id long, n long, bits_a array<int>")
+    records = spark.createDataFrame([(0, i, [0, 1]) for i in range(9)] + [(1, 9, [0, 2])], "side int, id long, bits_a array<int>")
+    assert block.lsh_positions(classes, 4, 0.9) == block.lsh_positions(records, 4, 0.9) == [1, 2]
+    assert block.lsh_positions(classes, 4, 0.8) == block.lsh_positions(records, 4, 0.8) == []
+    with pytest.raises(ValueError):
+        block.lsh_positions(classes, 4, 0.8, sample=5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_lsh_pairs_lose_no_pair_of_records(spark):
+    from cloakwork.plans import catalogue, microdata
+
+    found = catalogue.queries()["lsh_pairs"](spark, "/root/testdata/sf0.001").toPandas()
+    of = {k: g for k, g in found.groupby("kind")[["id1", "id2"]]}
+    records = of["pair"].merge(of["first"], left_on="id1", right_on="id2").merge(of["second"], left_on="id2_x", right_on="id2")
+    enc = microdata.encodings(spark, "/root/testdata/sf0.001")
+    want = block.candidate_pairs(block.lsh_blocks(enc, 1024, 24, 8, 0.8)).toPandas()
+    assert len(want) and len(of["first"]) == len(of["second"]) == enc.count() // 2
+    assert sorted(zip(records.iloc[:, 2], records["id1"])) == sorted(zip(want["id1"], want["id2"]))
+
+
 def test_classes_expand_to_all_pairs(copies):
     assert pairs_of(encode.expanded(copies[0].select("id1", "id2", "weight"), copies[1], most=2)) == sorted(copies[2])
 
