@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -348,6 +349,17 @@ def test_classes_with_members_say_all_pairs(copies):
     assert sorted(records) == sorted((a, b) for a, b, _ in copies[2])
 
 
+def test_keys_of_blocks_are_compiled(spark, tmp_path, capsys):
+    spark.createDataFrame([(s, i, [i % 4, 4 + i % 3]) for s in (0, 1) for i in range(6)], "side int, id long, bits_a array<int>").write.parquet(f"{tmp_path}/enc")
+    enc = spark.read.parquet(f"{tmp_path}/enc")
+    block.bit_blocks(enc, 1024, 24, 8).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8_000  # the JVM only interprets longer methods
+    keys = {(r["side"], r["id"], r["key"]) for r in block.bit_blocks(enc, 8, 3, 2).collect()}
+    of = lambda i, p: "".join("01"[x in (i % 4, 4 + i % 3)] for x in p)
+    assert keys == {(s, i, f"{t}:{of(i, p)}") for s in (0, 1) for i in range(6) for t, p in enumerate(block.draw(range(8), 3, 2, 42))}
+
+
 def test_lsh_counts_the_records_of_classes(spark):
     # bit 1 is in one of two classes, but in 9 of 10 records
     classes = spark.createDataFrame([(0, 0, 9, [0, 1]), (1, 1, 1, [0, 2])], "side int, id long, n long, bits_a array<int>")
