@@ -505,3 +505,40 @@ def test_common_words_summed_at_once(spark):
     df = spark.createDataFrame([([0, 63, 64, 99], [0, 64, 98]), ([], [5]), ([63], [63])], "a array<int>, b array<int>")
     a, b = packed(F.col("a"), 100), packed(F.col("b"), 100)
     assert [tuple(r) for r in df.select(shared_bits(a, b), shared_bits(a, b, 100)).collect()] == [(2, 2), (0, 0), (1, 1)]
+
+
+def test_bits_packed_by_token_equal_the_expression(spark):
+    from cloakwork.functions.bloom import BloomConfig, encode as positions, packed, with_words
+
+    df = spark.createDataFrame([(x,) for x in ["", None, "a", "Grün ß-Straße 12", "_ _", "日本語 x", "aa aa AA", "ab" * 40]], "t string")
+    for c in (BloomConfig(1024, 15, q=4), BloomConfig(100, 3, q=5, salt="s"), BloomConfig(64, 7, kind="tokens")):
+        for r in with_words(df, "t", c).select("words", packed(positions(F.col("t"), c), c.size).alias("w")).collect():
+            assert r["words"] == r["w"]
+
+
+def test_nearest_passes_over_unlike_groups(monkeypatch):
+    import numpy as np
+
+    from cloakwork.operators.pprl import nearest as N
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (64, 4), dtype=np.uint64) & rng.integers(0, 2**63, (64, 4), dtype=np.uint64)
+    w = np.repeat(base, 32, axis=0) ^ (np.uint64(1) << rng.integers(0, 63, (2048, 4), dtype=np.uint64))
+    ids, q = np.arange(2048), w[::100].copy()
+    seen, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: seen.append(len(x)) or count(x))
+    got = N.nearest(ids[::100], q, ids, w, 256, 5)
+    assert sum(seen) < 2048 * len(q) / 2
+    for i, x in enumerate(q):
+        both = count(w & x).sum(axis=1, dtype=int)
+        s = both / (count(w).sum(axis=1, dtype=int) + int(count(x).sum()) - both)
+        best = np.lexsort((ids, -s))[:5]
+        at = got[0] == 100 * i
+        assert got[1][at].tolist() == best.tolist() and got[3][at].tolist() == s[best].tolist()
+
+
+def test_jaccard_neighbours_across_blocks(spark):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, [rng.getrandbits(20) & rng.getrandbits(20), rng.getrandbits(9)]) for i in range(60)], "id long, words array<long>")
+    got = lambda df: sorted(map(tuple, df.select("query_id", "id", "shared", "similarity", "rank").collect()))
+    assert got(block.jaccard_knn(rows.filter("id < 9"), rows, "words", 4, block_rows=20)) == got(block.jaccard_knn(rows.filter("id < 9"), rows, "words", 4))
