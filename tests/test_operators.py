@@ -542,3 +542,20 @@ def test_jaccard_neighbours_across_blocks(spark):
     rows = spark.createDataFrame([(i, [rng.getrandbits(20) & rng.getrandbits(20), rng.getrandbits(9)]) for i in range(60)], "id long, words array<long>")
     got = lambda df: sorted(map(tuple, df.select("query_id", "id", "shared", "similarity", "rank").collect()))
     assert got(block.jaccard_knn(rows.filter("id < 9"), rows, "words", 4, block_rows=20)) == got(block.jaccard_knn(rows.filter("id < 9"), rows, "words", 4))
+
+
+def test_agreeing_pairs_meet_once_without_a_shuffle_of_pairs(spark):
+    from cloakwork.functions.bloom import packed
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(100), rng.randint(0, 30))) for _ in range(40)]
+    df = spark.createDataFrame([(i % 2, i, b) for i, b in enumerate(sets)], "side int, id long, bits_a array<int>")
+    drawn = block.draw(range(100), 3, 4, 42)
+    coded = df.select("side", "id", block.sampled_codes(packed(F.col("bits_a"), 100), drawn).alias("codes"))
+    found = block.agreeing_pairs(coded, 4)
+    got = [tuple(r) for r in found.collect()]
+    want = {tuple(r) for r in block.candidate_pairs(block._keyed(df, F.col("bits_a"), drawn)).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    with_n = df.withColumn("n", F.col("id") + 1)
+    assert block.lsh_positions(with_n.select("side", "id", "n", packed(F.col("bits_a"), 100).alias("words")), 100, 0.8) == block.lsh_positions(with_n, 100, 0.8)
